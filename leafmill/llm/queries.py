@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import simhash
+from leafmill.llm import piecemodel, simhash, wordpiece
+
+#: Folder of the public tokenizer files; read on the driver only.
+TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +31,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at two bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+def _piece_file() -> bytes:
+    return Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes()
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece lengths with the pieces of the public 32k vocabulary."""
+    pieces = piecemodel.vocabulary(piecemodel.parse(_piece_file()))
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), pieces, piecemodel.MARK)
