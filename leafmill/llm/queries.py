@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import piecemodel, simhash, wordpiece
+from leafmill.llm import media, piecemodel, pieces, simhash, toxicity, wordpiece
 
 #: Folder of the public tokenizer files; read on the driver only.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
@@ -42,3 +43,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths with the pieces of the public 32k vocabulary."""
     pieces = piecemodel.vocabulary(piecemodel.parse(_piece_file()))
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), pieces, piecemodel.MARK)
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """The two labelled categories, low quality before toxic."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, ["low_quality", "toxic"])
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of both categories for every document, and whether the chain rejects it."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir)).withColumnRenamed("rejected", "toxic")
+
+
+@_query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text through a PNG and back, as digests."""
+    return media.digests(media.read_media(media.write_media(_table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text with the public 32k model, and whether decoding gives the text back."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), _piece_file())
