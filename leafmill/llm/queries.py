@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import media, piecemodel, pieces, simhash, toxicity, wordpiece
+from leafmill.llm import media, minhash, piecemodel, pieces, simhash, spans, toxicity, wordpiece
 
 #: Folder of the public tokenizer files; read on the driver only.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +34,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@_query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingles in 256 bins of 8 bits, for each text, its edited text and the next document."""
+    return minhash.edited_likeness(_table(spark, sf_dir, "documents"), width=5)
+
+
 def _piece_file() -> bytes:
     return Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes()
 
@@ -64,6 +70,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.read_media(media.write_media(_table(spark, sf_dir, "documents"))))
 
 
+@_query
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the sentences gone that a non-first repeated span covers."""
+    found = spans.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_sentences", "n_removed")
+
+
 @_query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text with the public 32k model, and whether decoding gives the text back."""
