@@ -26,9 +26,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): words between ASCII blanks."""
+    """(doc_id, source, size, tie): words between ASCII blanks, and a hash of the row for fixed orders."""
     n = F.regexp_count(F.col(text), F.lit(WORD)).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(n, F.lit(0).cast("long")).alias("size"))
+    tie = F.xxhash64(doc_id, source, text).alias("tie")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(n, F.lit(0).cast("long")).alias("size"), tie)
 
 
 def source_targets(sized: DataFrame, weights: list[float], share: float, bound: float) -> DataFrame:
@@ -63,7 +64,7 @@ def _uniform(seed: int, *parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / F.lit(float(1 << 53))
 
 
-_UNIT = "struct<p:double,size:bigint,doc_id:{0},tie:bigint>"
+_UNIT = "struct<size:bigint,tie:bigint,doc_id:{0},p:double>"
 _DONE = "array<struct<copy:int,size:bigint,doc_id:{0},tie:bigint>>"
 
 
@@ -73,7 +74,7 @@ def _play(units: Column, kind: str, seed: int) -> Column:
     start = F.struct(F.lit(None).cast(unit).alias("left"), F.array().cast(done).alias("done"))
 
     def with_p(u: Column, p: Column) -> Column:
-        return F.struct(p.alias("p"), u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["tie"].alias("tie"))
+        return F.struct(u["size"].alias("size"), u["tie"].alias("tie"), u["doc_id"].alias("doc_id"), p.alias("p"))
 
     def settled(u: Column, copy: Column) -> Column:
         return F.array(F.struct(copy.cast("int").alias("copy"), u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["tie"].alias("tie")))
@@ -113,10 +114,8 @@ def mix(
     kind = dict(sized.dtypes)["doc_id"]
     t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(bound)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    # Rows that are alike in everything get ties by the partition-free part of their place among equals.
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    rows = rows.withColumn("tie", F.xxhash64("doc_id", "source", "size"))
     # Classes of like size, eight to a doubling, and in each as many blocks as its rows fill.
     klass = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     rows = materialize(rows.withColumn("klass", klass), "rows")
@@ -124,7 +123,7 @@ def mix(
     filled = rows.groupBy("source", "klass").agg(F.count("*").alias("n"))
     filled = materialize(filled.select(F.col("source").alias("_source"), F.col("klass").alias("_klass"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "filled")
     most = filled.agg(F.max("blocks")).first()[0] or 1
-    unit = F.struct("p", "size", "doc_id", "tie")
+    unit = F.struct("size", "tie", "doc_id", "p")
     block = F.pmod(F.xxhash64("tie", F.lit(seed)), F.col("blocks"))
     level = rows.join(filled, F.col("source").eqNullSafe(F.col("_source")) & (F.col("klass") == F.col("_klass")))
     level = level.select("source", F.col("klass").alias("klass"), block.alias("block"), unit.alias("unit"))
@@ -137,7 +136,7 @@ def mix(
     keys += [["source", "klass"], ["source"]]
     for depth, key in enumerate(keys):
         own = [F.col(k) for k in key]
-        played = level.groupBy(*own).agg(_play(F.array_sort(F.collect_list("unit"), _by_size), kind, seed + depth).alias("out"))
+        played = level.groupBy(*own).agg(_play(F.sort_array(F.collect_list("unit")), kind, seed + depth).alias("out"))
         played = materialize(played, "played")
         made.append(played)
         settled.append(played.select("source", F.explode("out.done").alias("u")).select("source", "u.copy", "u.size", "u.doc_id", "u.tie"))
@@ -154,24 +153,19 @@ def mix(
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def _by_size(a: Column, b: Column) -> Column:
-    """Order of play: by size, then by hash and id, so that it does not depend on where rows lie."""
-    out = F.lit(0)
-    for k in ("doc_id", "tie", "size"):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).when(a[k].isNull() & b[k].isNotNull(), -1).when(a[k].isNotNull() & b[k].isNull(), 1).otherwise(out)
-    return out
-
-
 def taken_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """docs with each row as often as the mix takes it; every repeat has the same columns.
 
     Rows that share id, source and size share one number of copies (the sum over them is what the mix gives them).
     """
     found = mix(docs, text=text, doc_id=doc_id, source=source, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    found = materialize(found, "copies")
     found = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_sum", "_rows")
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     both = docs.withColumn("_n", n).join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(text)))
-    both = both.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1))
-    own = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
+    own = F.col("_sum")
+    if not found.filter("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(text)))
+        both = both.withColumn("_place", place)
+        own = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
     return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), own.cast("int")))).select(*docs.columns)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import media, minhash, piecemodel, pieces, simhash, spans, toxicity, wordpiece
+from leafmill.llm import media, minhash, mixing, pieces, piecemodel, pii, simhash, spans, toxicity, urls, wordpiece
 
 #: Folder of the public tokenizer files; read on the driver only.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
@@ -51,6 +51,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), pieces, piecemodel.MARK)
 
 
+#: (verdict, host, beginning of the path).
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by the rules, else by what its aliases get."""
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
     """The two labelled categories, low quality before toxic."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -64,6 +74,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir)).withColumnRenamed("rejected", "toxic")
 
 
+#: Key of the surrogates; a deployment sets its own.
+PII_KEY = os.environ.get("LEAFMILL_PII_KEY", "leafmill")
+
+
+@_query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its entities."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, PII_KEY, counts=True)
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 3, 1, 2, repeating, and share 150 % of all words; no target above twice its source."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, bound=2.0)
+    return found.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
 @_query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text through a PNG and back, as digests."""
