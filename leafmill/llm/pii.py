@@ -40,7 +40,7 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; texts without it are passed over.
@@ -48,6 +48,11 @@ HINT = rf"[@\d]|(?:{_TITLES})\.? \p{{Lu}}"
 LETTERS, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x worked out once, however often ``use`` names it; it also keeps the plan small."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     out = F.lit("name")
     for k in reversed(list(PATTERNS)):
@@ -85,14 +90,20 @@ def _of(alphabet: str, b: Column) -> Column:
 def _recast(value: Column, digest: Column, hexed: bool = False, keep: Column | None = None) -> Column:
     """Each character replaced by one of its class: digits, letters of the same script and case; the first ``keep`` stay."""
 
+    def drawn(c: Column, b: Column) -> Column:
+        low = F.when(c.rlike(r"\p{IsCyrillic}"), _of(CYRILLIC, b)).when(c.rlike(r"\p{IsGreek}"), _of(GREEK, b)).otherwise(_of("abcdef" if hexed else LETTERS, b))
+        return F.when(c.rlike(r"\d"), _of("0123456789", b)).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
+
     def one(i: Column) -> Column:
         c = F.substr(value, i + 1, F.lit(1))
         # The draw goes by the place among letters and digits, so that separators do not matter.
-        at = F.length(F.regexp_replace(F.substr(value, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        b = _byte(digest, at)
-        low = F.when(c.rlike(r"\p{IsCyrillic}"), _of(CYRILLIC, b)).when(c.rlike(r"\p{IsGreek}"), _of(GREEK, b)).otherwise(_of("abcdef" if hexed else LETTERS, b))
-        cast = F.when(c.rlike(r"\d"), _of("0123456789", b)).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
-        return cast if keep is None else F.when(at < keep, c).otherwise(cast)
+        place = F.length(F.regexp_replace(F.substr(value, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+
+        def at_place(at: Column) -> Column:
+            new = let(_byte(digest, at), lambda b: drawn(c, b))
+            return new if keep is None else F.when(at < keep, c).otherwise(new)
+
+        return let(place, at_place)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
@@ -109,11 +120,13 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(value: Column, digest: Column) -> Column:
-    drawn = _recast(value, digest, keep=F.lit(1))
-    digits, new = F.regexp_replace(value, r"\D", ""), F.regexp_replace(drawn, r"\D", "")
-    last = F.substr(new, F.length(new), F.lit(1)).cast("int")
-    checked = F.concat(F.left(drawn, F.length(drawn) - 1), ((last + 10 - _luhn(new)) % 10).cast("string"))
-    return F.when(_luhn(digits) == 0, checked).otherwise(drawn)
+    def checked(drawn: Column) -> Column:
+        new = F.regexp_replace(drawn, r"\D", "")
+        last = F.substr(new, F.length(new), F.lit(1)).cast("int")
+        return F.concat(F.left(drawn, F.length(drawn) - 1), ((last + 10 - _luhn(new)) % 10).cast("string"))
+
+    valid = _luhn(F.regexp_replace(value, r"\D", "")) == 0
+    return let(_recast(value, digest, keep=F.lit(1)), lambda drawn: F.when(valid, let(drawn, checked)).otherwise(drawn))
 
 
 def _ip(value: Column, digest: Column) -> Column:
@@ -130,11 +143,8 @@ def _title(names: Column, title: list[str]) -> Column:
     return F.regexp_extract(names, r"^([^ .]+)", 1).isin(*title)
 
 
-def _name(value: Column, key: str, attempt: Column) -> tuple[Column, Column]:
-    """The title stays; a name before another is a given name of the title's gender, the last one a surname.
-
-    Gives the names joined by a mark, and what stood between them.
-    """
+def _name(value: Column, key: str, attempt: Column) -> Column:
+    """The title stays; a name before another is a given name of the title's gender, the last one a surname."""
     head = F.regexp_extract(value, r"^([^ ]+ )", 1)
     rest = F.substr(value, F.length(head) + 1)
     tokens = F.regexp_extract_all(rest, F.lit(r"\p{L}+"), F.lit(0))
@@ -143,43 +153,49 @@ def _name(value: Column, key: str, attempt: Column) -> tuple[Column, Column]:
     def pick(names: list[str], b: Column) -> Column:
         return F.get(F.array(*[F.lit(n) for n in names]), b % len(names))
 
-    def one(t: Column, i: Column) -> Column:
+    def drawn(t: Column, given: Column, d: Column) -> Column:
         slavic = t.rlike(r"\p{IsCyrillic}")
-        given = (F.size(tokens) > 1) & (i == 0)
-        d = _digest(key, F.when(given, F.when(male, "given-m").otherwise("given-f")).otherwise("surname"), t, attempt)
         b = _byte(d, F.lit(0))
         first = F.when(male & slavic, pick(MALE_CYRILLIC, b)).when(slavic, pick(FEMALE_CYRILLIC, b)).when(male, pick(MALE_NAMES, b)).otherwise(pick(FEMALE_NAMES, b))
         made = lambda syllables: F.initcap(F.concat(*[pick(syllables, _byte(d, F.lit(k))) for k in range(1, 5)]))
         last = F.when(slavic, made(CYRILLIC_SYLLABLES)).otherwise(made(SYLLABLES))
-        return F.when(given, first).otherwise(F.when(t == F.upper(t), F.upper(last)).otherwise(last))
+        return F.when(given, first).when(t == F.upper(t), F.upper(last)).otherwise(last)
 
-    between = F.regexp_extract(rest, r"^\p{L}+([ -])\p{L}", 1)
-    return F.concat(head, F.array_join(F.transform(tokens, one), "\x1f")), between
+    def one(t: Column, i: Column) -> Column:
+        given = (F.size(tokens) > 1) & (i == 0)
+        return let(_digest(key, F.when(~given, "surname").when(male, "given-m").otherwise("given-f"), t, attempt), lambda d: drawn(t, given, d))
 
+    between = F.concat(F.regexp_extract_all(rest, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+    return F.concat(head, F.array_join(F.zip_with(F.transform(tokens, one), between, lambda t, b: F.concat(t, b)), ""))
 
-def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of one spelling of an entity."""
-    canon = canonical(value, kind)
-    d = _digest(key, kind, canon, attempt)
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    labels = F.left(domain, F.length(domain) - F.length(F.substring_index(domain, ".", -1)))
-    hosts = F.lower(labels)
-    mail = F.concat(_recast(local, d), F.lit("@"), _recast(hosts, _digest(key, F.lit("domain"), F.lower(domain), attempt)), F.substring_index(domain, ".", -1))
+
+def surrogate(value: Column, kind: Column, key: str, attempt_of) -> Column:
+    """The surrogate of one spelling of an entity; attempt_of(kind, canonical form) numbers the draw."""
+    domain = F.substring_index(value, "@", -1)
+    ending = F.substring_index(domain, ".", -1)
+    hosts = F.lower(F.left(domain, F.length(domain) - F.length(ending)))
     prefix = F.length(F.regexp_replace(F.regexp_extract(value, r"^(AKIA|sk-|gh[ps]_)", 1), r"[^\p{L}\p{N}]", ""))
     plain_hex = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    name, between = _name(value, key, attempt)
     code = F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ .(-]", 1))
-    return (
-        F.when(kind == "email", mail)
-        .when((kind == "secret") & plain_hex, _recast(value, d, hexed=True))
-        .when(kind == "secret", _recast(value, d, keep=prefix))
-        .when(kind == "ip", _ip(value, d))
-        .when(kind == "phone", _recast(value, d, keep=F.when(value.startswith("+"), F.greatest(code, F.lit(1))).otherwise(0)))
-        .when(kind == "card", _card(value, d))
-        .when(kind == "iban", _recast(value, d, keep=F.lit(2)))
-        .when(kind == "name", F.replace(name, F.lit("\x1f"), between))
-        .otherwise(_recast(value, d))
-    )
+
+    def drawn(d: Column, attempt: Column) -> Column:
+        renamed = let(_digest(key, F.lit("domain"), F.lower(domain), attempt), lambda e: _recast(hosts, e))
+        return (
+            F.when(kind == "email", F.concat(_recast(F.substring_index(value, "@", 1), d), F.lit("@"), renamed, ending))
+            .when((kind == "secret") & plain_hex, _recast(value, d, hexed=True))
+            .when(kind == "secret", _recast(value, d, keep=prefix))
+            .when(kind == "ip", _ip(value, d))
+            .when(kind == "phone", _recast(value, d, keep=F.when(value.startswith("+"), F.greatest(code, F.lit(1))).otherwise(0)))
+            .when(kind == "card", _card(value, d))
+            .when(kind == "iban", _recast(value, d, keep=F.lit(2)))
+            .when(kind == "name", _name(value, key, attempt))
+            .otherwise(_recast(value, d))
+        )
+
+    def numbered(canon: Column) -> Column:
+        return let(attempt_of(kind, canon), lambda a: let(_digest(key, kind, canon, a), lambda d: drawn(d, a)))
+
+    return let(canonical(value, kind), numbered)
 
 
 def with_entities(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -196,7 +212,8 @@ def redraws(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 50)
     known = materialize(v, "entities")
     fixed, open_, out = None, known, None
     for attempt in range(max_rounds):
-        drawn = materialize(open_.withColumn("s", canonical(surrogate(F.col("canon"), F.col("kind"), key, F.lit(attempt)), F.col("kind"))), "drawn")
+        raw = surrogate(F.col("canon"), F.col("kind"), key, lambda kind, canon: F.lit(attempt))  # noqa: B023
+        drawn = materialize(open_.withColumn("s", let(raw, lambda r: canonical(r, F.col("kind")))), "drawn")
         firsts = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
         won = drawn.join(firsts, ["kind", "s", "canon"])
         won = won.join(known.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
@@ -235,8 +252,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", counts: bool
     t = F.col(text)
 
     def swap(v: Column) -> Column:
-        bound = F.transform(F.array(kind_of(v)), lambda k: surrogate(v, k, key, attempt_of(k, canonical(v, k))))
-        return F.get(bound, F.lit(0))
+        return let(kind_of(v), lambda k: surrogate(v, k, key, attempt_of))
 
     new = F.transform(F.col("_found"), swap)
     joined = F.array_join(F.zip_with(F.split(t, ENTITY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
