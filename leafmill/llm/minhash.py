@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 #: Bins, bits kept of each, and where a hash's value ends and its bin begins.
 BINS, BITS = 256, 8
 SHIFT = 63 - 8
-#: Steps that an empty bin walks with replacement before the last resort, its order over all bins.
-PROBES = 4
+#: Steps that an empty bin walks with replacement, some at first and more if those find nothing, before the last resort, its
+#: order over all bins.
+FIRST, PROBES = 3, 15
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -66,19 +67,21 @@ def with_bins(df: DataFrame, text: str, out: str, width: int = 5) -> DataFrame:
     empty = F.lit((1 << SHIFT) - 1)
     probes = _constant(json.dumps([[_mixed(b, a) % BINS for a in range(PROBES)] for b in range(BINS)]), "array<array<int>>")
     salts = _constant(json.dumps([_mixed(b, 99) >> 2 for b in range(BINS)]), "array<bigint>")
-    dense = F.col(d)
+    dense, f = F.col(d), f"_{out}_filled"
+    df = df.withColumn(f, F.filter(F.transform(dense, lambda v, j: F.struct(v.alias("v"), j.alias("j"))), lambda x: x["v"] != empty))
+
+    def walk(steps: Column) -> Column:
+        return F.get(F.filter(F.transform(steps, lambda j: F.get(dense, j)), lambda v: v != empty), F.lit(0))
 
     def borrow(b: Column) -> Column:
-        near = F.filter(F.transform(F.get(probes, b), lambda j: F.get(dense, j)), lambda v: v != empty)
+        mine = F.get(probes, b)
         # Last resort: the filled bin that comes first in this bin's own order.
-        order = F.transform(
-            dense,
-            lambda v, j: F.when(v != empty, F.struct(F.xxhash64(F.get(salts, b), j).alias("rank"), v.alias("v"))),
-        )
-        return F.coalesce(F.get(near, F.lit(0)), F.array_min(order)["v"])
+        order = F.transform(F.col(f), lambda x: F.struct(F.xxhash64(F.get(salts, b), x["j"]).alias("rank"), x["v"].alias("v")))
+        return F.coalesce(walk(F.slice(mine, 1, FIRST)), walk(F.slice(mine, FIRST + 1, PROBES - FIRST)), F.array_min(order)["v"])
 
     full = F.transform(dense, lambda v, b: F.when(v != empty, v).otherwise(borrow(b)).bitwiseAND(F.lit((1 << BITS) - 1)))
-    return df.withColumn(out, full).drop(h, s, d)
+    # The filled bins are named twice, so that the optimizer does not work them out anew for every bin.
+    return df.withColumn(out, F.when(F.size(f) > 0, full)).drop(h, s, d, f)
 
 
 def packed(bins: Column) -> Column:
