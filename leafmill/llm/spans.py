@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from leafmill.staging import materialize
+
 END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|\s*\n\s*")
 
 
@@ -99,6 +101,7 @@ def covered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run)
     table = span_table(docs, text, doc_id, **run)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     shared = table.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    shared = materialize(shared, "shared")  # a table of its own, so that a hot span's side of the join can be split
     again = table.join(shared, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first")))
     each = again.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
     return each.groupBy("doc_id").agg(F.collect_set("s").alias("gone"))
