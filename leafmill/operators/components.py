@@ -13,8 +13,12 @@ from leafmill.staging import materialize, release
 
 
 def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """pairs (u, v): link v (and u, for the small star) to the least of u's neighbourhood."""
+    """pairs (u, v): link v (and u, for the small star) to the least of u's neighbourhood.
+
+    The minima are a table of their own: a join between two plain shuffles is one whose hot node can be split.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
     joined = pairs.join(least, "u")
     if keep_larger:
         return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
