@@ -8,6 +8,10 @@
    carry-save counters, a word operation per plane, and a block is given up once all its lanes exceed the radius.
 4. A tile reports a spanning set of its links; distributed components join them.
 
+Copies at a Jaccard likeness of 0.8 differ in about 15 of 100 bits, far beyond a radius of 2.  ``near_copies`` finds them with
+wider fingerprints over distinct shingles: texts whose fingerprints agree on one of ``WAYS`` keys of sampled bits meet in a tile,
+and the same bit-sliced comparison links those within a radius that stands for the likeness.
+
 Defined results: a null or word-less text has fingerprint 0 and links like any other; repeated rows share everything; a null
 doc_id takes part but never names a component (a component of null ids only has a null id).
 """
@@ -31,6 +35,10 @@ BITS = 64
 CHUNK = 1 << 15
 #: (query, word) pairs compared at a time.
 PAIRS = 1 << 16
+#: Wide fingerprints: 64-bit words, keys and the bits of each (every run of keys over all bits permutes them anew).
+WORDS, WAYS, KEY_BITS = 8, 48, 16
+#: Rows from which a tile is first thinned by pivots, and pivots tried.
+DENSE, PIVOTS = 256, 64
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -50,6 +58,29 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
+def _remixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Further 64 bits of each hash."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * word & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_simhash(text: str | None, width: int = 5, seed: int = 42, n_words: int = WORDS) -> bytes:
+    """Fingerprint of 64 * n_words bits over the distinct shingles of a text; zero bytes without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * n_words)
+    digest = xxhash.xxh64_intdigest
+    shingles = (digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1)))
+    h = np.unique(np.fromiter(shingles, "<u8"))
+    votes = np.zeros(BITS * n_words, np.int64)
+    for lo in range(0, len(h), 255):  # counts of so many fit a byte
+        wide = np.stack([_remixed(h[lo : lo + 255], w) for w in range(n_words)], axis=1)
+        votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
+
+
 def add_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed 64-bit value."""
 
@@ -74,10 +105,14 @@ def _exceeds(planes: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return above
 
 
-def sliced_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the same group at radius or fewer differing bits; group is sorted."""
+def sliced_pairs(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of the same group at radius or fewer differing bits; group is sorted.
+
+    fps holds one word a row or several.  With a label, sorted inside groups, blocks wholly of the query's label are left out.
+    """
     if not len(fps):
         return
+    fps = fps.reshape(len(fps), -1)
     cuts = np.flatnonzero(np.diff(group)) + 1
     start, stop = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fps)]))
     keep = stop - start > 1
@@ -88,11 +123,11 @@ def sliced_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tu
     at = 0
     while at < len(start):
         upto = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + PAIRS, "right")))
-        yield from _sliced_chunk(fps, start[at:upto], size[at:upto], words[at:upto], radius)
+        yield from _sliced_chunk(fps, start[at:upto], size[at:upto], words[at:upto], radius, label)
         at = upto
 
 
-def _sliced_chunk(fps, start, size, words, radius):
+def _sliced_chunk(fps, start, size, words, radius, label):
     first = np.concatenate(([0], np.cumsum(words)))  # each group's first word
     member = np.repeat(np.arange(len(size)), size)
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
@@ -100,10 +135,13 @@ def _sliced_chunk(fps, start, size, words, radius):
     index = start[member] + within
     of_lane = np.full(int(first[-1]) * 64, -1, np.int64)
     of_lane[lane] = index
-    filled = np.zeros(len(of_lane), np.uint64)
+    filled = np.zeros((len(of_lane), fps.shape[1]), np.uint64)
     filled[lane] = fps[index]
     one = np.uint64(1)
-    planes = np.stack([np.packbits((filled >> np.uint64(b) & one).astype(bool), bitorder="little").view("<u8") for b in range(BITS)])
+    places = [(w, np.uint64(b)) for w in range(fps.shape[1]) for b in range(BITS)]
+    planes = np.stack([np.packbits((filled[:, w] >> b & one).astype(bool), bitorder="little").view("<u8") for w, b in places])
+    if label is not None:
+        of_first, of_last = label[of_lane[0::64]], label[np.maximum.reduceat(of_lane, np.arange(0, len(of_lane), 64))]
     # A query meets its own word and the later ones of its group: each pair once.
     n_words = words[member] - within // 64
     for lo, hi in _spans(n_words):
@@ -112,17 +150,20 @@ def _sliced_chunk(fps, start, size, words, radius):
         word = first[member[q]] + within[q] // 64 + step
         left = np.clip(size[member[q]] - (within[q] // 64 + step) * 64, 0, 64).astype(np.uint64)
         valid = np.where(left == 64, ~np.uint64(0), (one << (left & np.uint64(63))) - one)
+        if label is not None:
+            mixed = (of_first[word] != of_last[word]) | (of_first[word] != label[index[q]])
+            q, step, word, valid = q[mixed], step[mixed], word[mixed], valid[mixed]
         own = (within[q] % 64).astype(np.uint64)
         valid &= np.where(step == 0, ~((one << own) | ((one << own) - one)), ~np.uint64(0))
         value = fps[index[q]]
         counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
         over = np.zeros(len(q), np.uint64)
-        for b in range(BITS):
-            carry = planes[b][word] ^ (np.uint64(0) - (value >> np.uint64(b) & one))
+        for n, (w, b) in enumerate(places):
+            carry = planes[n][word] ^ (np.uint64(0) - (value[:, w] >> b & one))
             for k in range(len(counters)):
                 carry, counters[k] = counters[k] & carry, counters[k] ^ carry
             over |= carry
-            if b % 8 == 7:  # give up blocks of which every lane is too far
+            if n >= radius and n % 8 == 7:  # give up blocks of which every lane is too far
                 alive = (~_exceeds(counters, over, radius) & valid) != 0
                 if not alive.all():
                     q, word, valid, value, over = q[alive], word[alive], valid[alive], value[alive], over[alive]
@@ -182,6 +223,86 @@ def _tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield links(held_t, held_f)
 
 
+def _thinned(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large tile that connect what all its pairs connect.
+
+    Rows near a pivot are one component already, so that only blocks with rows of other components are compared after that.
+    """
+    free, stars = np.ones(len(fps), bool), []
+    for _ in range(PIVOTS):
+        if not free.any():
+            break
+        pivot = int(np.argmax(free))
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[pivot]).sum(axis=1, dtype=np.int64) <= radius)
+        free[near] = False
+        stars.append((np.full(len(near), pivot), near))
+    label = _spanning(len(fps), iter(stars))
+    yield from stars
+    order = np.argsort(label, kind="stable")
+    for a, b in sliced_pairs(fps[order], np.zeros(len(fps), np.int64), radius, label[order]):
+        yield order[a], order[b]
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each tile of wide fingerprints; the rows come sorted by tile."""
+
+    def links(tile, fp):
+        u = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]))
+        size = np.diff(cuts)
+        few = np.flatnonzero(np.repeat(size <= DENSE, size))
+        label = np.arange(len(u))
+        label[few] = few[_spanning(len(few), sliced_pairs(u[few], tile[few], radius))]
+        for t in np.flatnonzero(size > DENSE):
+            lo, hi = cuts[t], cuts[t + 1]
+            label[lo:hi] = lo + _spanning(hi - lo, _thinned(u[lo:hi], radius))
+        far = np.flatnonzero(label != np.arange(len(u)))
+        return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in far], "binary"), pa.array([fp[i] for i in label[far]], "binary")], ["a", "b"])
+
+    held_t, held_f = np.empty(0, np.int64), []
+    for batch in batches:
+        held_t = np.concatenate((held_t, batch.column(0).to_numpy(zero_copy_only=False)))
+        held_f += batch.column(1).to_pylist()
+        cut = int(np.searchsorted(held_t, held_t[-1])) if len(held_t) else 0  # the last tile may go on
+        if cut:
+            yield links(held_t[:cut], held_f[:cut])
+            held_t, held_f = held_t[cut:], held_f[cut:]
+    if len(held_t):
+        yield links(held_t, held_f)
+
+
+def _sampled_keys(fps: list[bytes], seed: int) -> np.ndarray:
+    """(len(fps), WAYS) keys: the way's number above its sampled bits."""
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    rng, runs = np.random.default_rng(seed), -(-WAYS * KEY_BITS // bits.shape[1])
+    places = np.concatenate([rng.permutation(bits.shape[1]) for _ in range(runs)])[: WAYS * KEY_BITS].reshape(WAYS, KEY_BITS)
+    weight = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    return np.stack([bits[:, p] @ weight for p in places], axis=1) + (np.arange(WAYS, dtype=np.int64) << KEY_BITS)
+
+
+def copy_links(nodes: DataFrame, radius: int, tile: int = 16384, seed: int = 42) -> DataFrame:
+    """(a, b): links that connect what fingerprints of a common key and at radius or fewer bits connect; nodes has distinct ``fp``.
+
+    Keys that more than ``tile`` fingerprints share are cut into tiles of pairs of their parts.  The table of such keys is
+    broadcast: it has at most WAYS << KEY_BITS rows of two numbers, whatever the corpus holds.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                fps = b.column(0).slice(lo, 1024).to_pylist()
+                key = _sampled_keys(fps, seed).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps, "binary").take(pa.array(np.repeat(np.arange(len(fps)), WAYS)))], ["key", "fp"])
+
+    keyed = nodes.mapInArrow(keys, "key long, fp binary")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    rows = keyed.join(F.broadcast(counts), "key", "left").select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "fp")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _wide_links(it, radius), "a binary, b binary")
+
+
 def _ranges(total: int, parts: int) -> list[tuple[int, int]]:
     """(shift, width) of equal bit ranges."""
     cuts = [total * k // parts for k in range(parts + 1)]
@@ -238,7 +359,13 @@ def near_duplicates(
     """
     fps = materialize(add_fingerprints(docs, text, doc_id, width, seed), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    groups = connected_components(fingerprint_links(nodes, radius))
+    out = _named(fps, nodes, fingerprint_links(nodes, radius))
+    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """fps with the least doc_id of each fingerprint's component."""
+    groups = connected_components(links)
     rooted = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )
@@ -246,16 +373,33 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
     release(nodes), release(rooted)
-    out = fps.join(named, "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 90, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): one row per input row, linked where wide fingerprints differ in ``radius`` bits at most.
+
+    Of 512 bits, 90 stand for a Jaccard likeness of about 0.8 of the distinct shingles of ``width`` words.  Wordless and null
+    texts are copies of each other; a null doc_id never names a component; empty input, empty output.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_simhash(t.as_py(), width, seed) for t in b.column(1)], "binary")], ["doc_id", "fp"])
+
+    kind = dict(docs.dtypes)[doc_id]
+    fps = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary")
+    fps = materialize(fps, "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    return _named(fps, nodes, copy_links(nodes.select("fp"), radius, seed=seed))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id names it.
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 90, seed: int = 42) -> DataFrame:
+    """docs with one document of each component of ``near_copies``: the one whose doc_id names it.
 
     Rows that repeat the kept doc_id give one row; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, text, doc_id, width, radius, seed).select("doc_id", "component_id")
+    found = near_copies(docs, text, doc_id, width, radius, seed).select("doc_id", "component_id")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")).filter("doc_id is not null")
     ids = materialize(ids.filter("n > 1 or doc_id <> component_id"), "dropped")
     apart = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_anti")

@@ -90,6 +90,64 @@ def test_near_duplicates(spark):
         if rows[k][0] is not None:
             least[root] = min(least.get(root, 99), rows[k][0])
     assert sorted(map(str, ((i, c) for i, _, c in got))) == sorted(str((rows[k][0], least[by[k]])) for k in by)
-    kept = [r.doc_id for r in S.drop_near_duplicates(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted(set(least.values())) and kept.count(None) == 1
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "a b c d e f", "a b c d e a b c d e " * 90])
+def test_wide_fingerprint(text):
+    words = (text or "").lower().split()
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    h = [int(S._remixed(np.array([xxhash.xxh64_intdigest(s, 42)], np.uint64), 3)[0]) for s in shingles]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    got = S.wide_simhash(text, n_words=5)
+    assert len(got) == 40 and int.from_bytes(got[24:32], "little") == want
+
+
+def _mutants(r, base, n, most):
+    out = []
+    for _ in range(n):
+        f = base.copy()
+        for b in r.choice(512, r.integers(0, most + 1), replace=False):
+            f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        out.append(f)
+    return out
+
+
+def test_thinned_tile_connects_what_all_pairs_connect(monkeypatch):
+    monkeypatch.setattr(S, "PAIRS", 700)
+    r = np.random.default_rng(3)
+    for pivots in (0, 1, 7, 400):
+        monkeypatch.setattr(S, "PIVOTS", pivots)
+        bases = r.integers(0, 2**63, (4, 8), dtype=np.uint64)
+        f = np.stack([x for b in bases for x in _mutants(r, b, 80, 70)])[r.permutation(320)]
+        near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= 60
+        want = roots(range(320), lambda a, b: near[a, b])
+        assert S._spanning(320, S._thinned(f, 60)).tolist() == [want[i] for i in range(320)]
+
+
+@pytest.mark.parametrize(("tile", "dense"), [(16384, 256), (20, 256), (20, 5)])
+def test_copy_links_give_the_components(spark, tile, dense, monkeypatch):
+    monkeypatch.setattr(S, "DENSE", dense)
+    r = np.random.default_rng(9)
+    bases = r.integers(0, 2**63, (30, 8), dtype=np.uint64)
+    f = [x.tobytes() for k, b in enumerate(bases) for x in _mutants(r, b, 90 if k == 0 else 3, 40)]
+    f = sorted(set(f))
+    from leafmill.operators.components import connected_components
+
+    nodes = spark.createDataFrame([(x,) for x in f], "fp binary").repartition(4)
+    got = {bytes(x.node): bytes(x.component) for x in connected_components(S.copy_links(nodes, 90, tile)).collect()}
+    bits = [int.from_bytes(x, "little") for x in f]
+    want = roots(range(len(f)), lambda a, b: (bits[a] ^ bits[b]).bit_count() <= 90)
+    assert [got.get(x, x) for x in f] == [f[want[i]] for i in range(len(f))]
+
+
+def test_drop_near_duplicates(spark):
+    base = [f"w{i}" for i in range(400)]
+    edited = base.copy()
+    edited[7], edited[300] = "x", "y"
+    texts = [" ".join(base), " ".join(edited), " ".join(base), " ".join(base[:200]), None, " ", "", "one", "One", "one two"]
+    docs = spark.createDataFrame([(i + 2, t, i) for i, t in enumerate(texts)] + [(2, texts[0], 77), (None, texts[0], 78)], "doc_id long, text string, fp int")
+    kept = S.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 5, 6, 9, 11]
+    assert S.drop_near_duplicates(docs.limit(0)).count() == 0
