@@ -34,7 +34,7 @@ BITS = 64
 #: Shingles hashed at a time, so that a text of any length needs bounded memory.
 CHUNK = 1 << 15
 #: (query, word) pairs compared at a time.
-PAIRS = 1 << 16
+PAIRS = 1 << 13
 #: Wide fingerprints: 64-bit words, keys and the bits of each (every run of keys over all bits permutes them anew).
 WORDS, WAYS, KEY_BITS = 8, 48, 16
 #: Rows from which a tile is first thinned by pivots, and pivots tried.
@@ -135,11 +135,10 @@ def _sliced_chunk(fps, start, size, words, radius, label):
     index = start[member] + within
     of_lane = np.full(int(first[-1]) * 64, -1, np.int64)
     of_lane[lane] = index
-    filled = np.zeros((len(of_lane), fps.shape[1]), np.uint64)
-    filled[lane] = fps[index]
     one = np.uint64(1)
     places = [(w, np.uint64(b)) for w in range(fps.shape[1]) for b in range(BITS)]
-    planes = np.stack([np.packbits((filled[:, w] >> b & one).astype(bool), bitorder="little").view("<u8") for w, b in places])
+    columns, lane_bit, opens = np.ascontiguousarray(fps[index].T), (within % 64).astype(np.uint64), np.flatnonzero(within % 64 == 0)
+    planes = np.stack([np.add.reduceat((columns[w] >> b & one) << lane_bit, opens) for w, b in places])
     if label is not None:
         of_first, of_last = label[of_lane[0::64]], label[np.maximum.reduceat(of_lane, np.arange(0, len(of_lane), 64))]
     # A query meets its own word and the later ones of its group: each pair once.
@@ -155,18 +154,26 @@ def _sliced_chunk(fps, start, size, words, radius, label):
             q, step, word, valid = q[mixed], step[mixed], word[mixed], valid[mixed]
         own = (within[q] % 64).astype(np.uint64)
         valid &= np.where(step == 0, ~((one << own) | ((one << own) - one)), ~np.uint64(0))
-        value = fps[index[q]]
-        counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
+        value = columns[:, q]
+        counters = [np.zeros(len(q), np.uint64) for _ in range(max(3, radius.bit_length()))]
         over = np.zeros(len(q), np.uint64)
-        for n, (w, b) in enumerate(places):
-            carry = planes[n][word] ^ (np.uint64(0) - (value[:, w] >> b & one))
-            for k in range(len(counters)):
+        for n in range(0, len(places), 8):
+            differ = [planes[n + i][word] ^ (np.uint64(0) - (value[w] >> b & one)) for i, (w, b) in enumerate(places[n : n + 8])]
+            for k in range(3):  # eight planes become four of twice the weight, then two, then one
+                heavier = []
+                for x, y in zip(differ[0::2], differ[1::2], strict=False):
+                    odd = x ^ y
+                    heavier.append((x & y) | (odd & counters[k]))
+                    counters[k] = odd ^ counters[k]
+                differ = heavier
+            carry = differ[0]
+            for k in range(3, len(counters)):
                 carry, counters[k] = counters[k] & carry, counters[k] ^ carry
             over |= carry
-            if n >= radius and n % 8 == 7:  # give up blocks of which every lane is too far
+            if n + 8 > radius:  # give up blocks of which every lane is too far
                 alive = (~_exceeds(counters, over, radius) & valid) != 0
                 if not alive.all():
-                    q, word, valid, value, over = q[alive], word[alive], valid[alive], value[alive], over[alive]
+                    q, word, valid, value, over = q[alive], word[alive], valid[alive], value[:, alive], over[alive]
                     counters = [c[alive] for c in counters]
                 if not len(q):
                     break
