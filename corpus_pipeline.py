@@ -12,13 +12,20 @@ from leafmill.llm import mixing, pieces, pii, queries, simhash, toxicity
 from leafmill.staging import materialize
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer rows go to Python at a time than Spark's 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain rejects go; all others stay as they are."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, queries.toxicity_chain(spark, docs, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies at a likeness of about 0.8 of five-word shingles, the document with the least id stays."""
+    _small_batches(spark)
     return simhash.drop_near_duplicates(docs, width=5, radius=90, seed=42)
 
 
@@ -34,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
+    _small_batches(spark)
     return pieces.encode(docs, queries._piece_file())
 
 
