@@ -26,7 +26,7 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from leafmill.llm import piecemodel as P
 
 #: Texts given to the library at a time, by number and by characters.
-BATCH, BATCH_CHARS = 256, 1 << 21
+BATCH, BATCH_CHARS = 64, 1 << 18
 
 
 def _merges(m: P.PieceModel) -> list[tuple[str, str]]:
