@@ -77,3 +77,17 @@ def inflections(word: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
     )
     return F.concat(F.array(first), more)
+
+
+def quantity_line(line: Column) -> Column:
+    """'3 x 12.50' is '3 @ 12.50': one or two characters between a count and an amount; other lines stay."""
+    fits = line.rlike(r"^[0-9]+ [^0-9 ]{1,2} [$]?[0-9][0-9,]*[.][0-9]{2}$")
+    return F.when(fits, F.regexp_replace(line, r"^([0-9]+) [^0-9 ]{1,2} ", "$1 @ ")).otherwise(line)
+
+
+def context_repair(token: Column, before: Column, after: Column) -> Column:
+    """'Cl' beside a percentage or before 'confidence' is 'CI'; bars after a word like 'type' are a Roman number."""
+    before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    interval = (token == "Cl") & (before.endswith("%") | after.isin("confidence", "interval"))
+    roman = token.rlike("^[Il|1]{1,3}$") & before.isin("type", "grade", "stage", "phase", "class")
+    return F.when(interval, "CI").when(roman, F.repeat(F.lit("I"), F.length(token))).otherwise(token)
