@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from leafmill.queries import catalog, layout, repair, standard  # noqa: F401
+from leafmill.queries import catalog, layout, paged, repair, standard  # noqa: F401
 from tests.compare import difference, views
 
 DATA = "/root/testdata/sf0.001"
