@@ -162,7 +162,8 @@ def taken_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = materialize(found, "copies")
     found = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_sum", "_rows")
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    both = docs.withColumn("_n", n).join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    # A row per document on either side: sorted at every size, never broadcast.
+    both = docs.withColumn("_n", n).join(found.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
     own = F.col("_sum")
     if not found.filter("_rows > 1").isEmpty():
         place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(text)))
