@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies at a likeness of about 0.8 of five-word shingles, the document with the least id stays."""
+    """Of each group of copies at a Jaccard likeness of 0.8 or more of five-word shingles, the document with the least id stays."""
     _small_batches(spark)
-    return simhash.drop_near_duplicates(docs, width=5, radius=90, seed=42)
+    return simhash.drop_near_duplicates(docs, width=5, likeness=0.8, seed=42)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@
 
 Copies at a Jaccard likeness of 0.8 differ in about 15 of 100 bits, far beyond a radius of 2.  ``near_copies`` finds them with
 wider fingerprints over distinct shingles: texts whose fingerprints agree on one of ``WAYS`` keys of sampled bits meet in a tile,
-and the same bit-sliced comparison links those within a radius that stands for the likeness.
+and the same bit-sliced comparison names candidates within a loose radius.  Texts of few shingles, whose fingerprints say little,
+meet under the least hashes of their shingle sets instead, of which two sets of the likeness share one without exception.  A
+link is only what the shingle sets themselves confirm; the search for candidates among longer texts may miss, but for few pairs.
 
 Defined results: a null or word-less text has fingerprint 0 and links like any other; repeated rows share everything; a null
 doc_id takes part but never names a component (a component of null ids only has a null id).
@@ -19,6 +21,7 @@ doc_id takes part but never names a component (a component of null ids only has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +39,11 @@ CHUNK = 1 << 15
 #: (query, word) pairs compared at a time.
 PAIRS = 1 << 13
 #: Wide fingerprints: 64-bit words, keys and the bits of each (every run of keys over all bits permutes them anew).
-WORDS, WAYS, KEY_BITS = 8, 48, 16
+WORDS, WAYS, KEY_BITS = 8, 80, 13
+#: Candidates differ in so many of 512 bits at most: a pair at a likeness of 0.8 differs in 77, give or take 8.
+RADIUS = 115
+#: Texts of so many distinct shingles or fewer are compared without fingerprints; shingles in a part of a tile of sets.
+FEW, PART = 48, 400_000
 #: Rows from which a tile is first thinned by pivots, and pivots tried.
 DENSE, PIVOTS = 256, 64
 
@@ -66,14 +73,22 @@ def _remixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def wide_simhash(text: str | None, width: int = 5, seed: int = 42, n_words: int = WORDS) -> bytes:
-    """Fingerprint of 64 * n_words bits over the distinct shingles of a text; zero bytes without words."""
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * n_words)
+        return np.empty(0, "<u8")
     digest = xxhash.xxh64_intdigest
     shingles = (digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1)))
-    h = np.unique(np.fromiter(shingles, "<u8"))
+    return np.unique(np.fromiter(shingles, "<u8"))
+
+
+def wide_simhash(text: str | None, width: int = 5, seed: int = 42, n_words: int = WORDS) -> bytes:
+    """Fingerprint of 64 * n_words bits over the distinct shingles of a text; zero bytes without words."""
+    return set_simhash(shingle_set(text, width, seed), n_words)
+
+
+def set_simhash(h: np.ndarray, n_words: int = WORDS) -> bytes:
     votes = np.zeros(BITS * n_words, np.int64)
     for lo in range(0, len(h), 255):  # counts of so many fit a byte
         wide = np.stack([_remixed(h[lo : lo + 255], w) for w in range(n_words)], axis=1)
@@ -380,38 +395,157 @@ def _named(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
     release(nodes), release(rooted)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp")
+
+
+def like_sets(sets: list[np.ndarray], likeness: Fraction) -> np.ndarray:
+    """Least index that pairs of sets at the Jaccard likeness or more connect each set with."""
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    label = np.arange(m)
+    owner, (_, token, count) = np.repeat(label, size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of_token = owner[np.argsort(token, kind="stable")]
+    stop = np.cumsum(count)
+    first = np.concatenate(([0], np.cumsum(size)))
+    p, q = likeness.numerator, likeness.denominator
+    for i in range(m):
+        if (label == label[0]).all():
+            break
+        mine = token[first[i] : first[i + 1]]
+        mine = mine[count[mine] > 1]
+        if not len(mine):
+            continue
+        n = count[mine]
+        at = np.arange(int(n.sum())) + np.repeat(stop[mine] - np.cumsum(n), n)
+        common = np.bincount(of_token[at], minlength=m)
+        found = np.unique(label[(p + q) * common >= p * (size[i] + size)])
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
+    return label
 
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 90, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row, linked where wide fingerprints differ in ``radius`` bits at most.
+def _set_links(batches: Iterator[pa.RecordBatch], likeness: Fraction) -> Iterator[pa.RecordBatch]:
+    """Spanning links (a, b) of each tile of (tile, fp, shingle set) rows; the rows come sorted by tile."""
+
+    def links(held):
+        names = list(held)
+        label = like_sets([np.frombuffer(held[x], "<u8") for x in names], likeness) if len(names) > 1 else np.zeros(len(names), np.int64)
+        far = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in far], "binary"), pa.array([names[i] for i in label[far]], "binary")], ["a", "b"])
+
+    now, held = None, {}
+    for b in batches:
+        for tile, fp, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            if tile != now:
+                if len(held) > 1:
+                    yield links(held)
+                now, held = tile, {}
+            held[fp.as_py()] = h.as_py()
+    yield links(held)
+
+
+def _tiled(rows: DataFrame, key: str, parts) -> DataFrame:
+    """(tile, fp, h): the rows of each key dealt into so many parts, and every pair of parts a tile."""
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    out = rows.select(key, "fp", "h", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    out = out.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "fp", "h")
+    return out.repartition("tile").sortWithinPartitions("tile")
 
-    Of 512 bits, 90 stand for a Jaccard likeness of about 0.8 of the distinct shingles of ``width`` words.  Wordless and null
-    texts are copies of each other; a null doc_id never names a component; empty input, empty output.
-    """
+
+def _few_links(nodes: DataFrame, likeness: Fraction) -> DataFrame:
+    """(a, b) among texts of few shingles, exact: of n hashes in order, two sets of the likeness share one of the first n - likeness * n + 1."""
+    p, q = likeness.numerator, likeness.denominator
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_py(), "<i8") for x in b.column(1)]
+            lead = [h[: len(h) + p * len(h) // -q + 1] for h in sets]
+            row = pa.array(np.repeat(np.arange(len(lead)), [len(x) for x in lead]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *lead])), b.column(0).take(row), b.column(1).take(row)], ["key", "fp", "h"])
+
+    keyed = nodes.filter("n > 0 and h is not null").select("fp", "h").mapInArrow(keys, "key long, fp binary, h binary")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    parts = F.ceil(F.col("n") / (PART // FEW)).cast("int")
+    return _tiled(keyed.join(shared, "key"), "key", parts).mapInArrow(lambda it: _set_links(it, likeness), "a binary, b binary")
+
+
+def _long_links(docs: DataFrame, nodes: DataFrame, likeness: Fraction, radius: int, width: int, seed: int) -> DataFrame:
+    """(a, b) among texts of more shingles: the members of each component of candidates, compared by their sets."""
+    prints = nodes.filter(F.col("n") > FEW).groupBy("wide").agg(F.count("*").alias("m"))
+    near = connected_components(copy_links(prints.select(F.col("wide").alias("fp")), radius, seed=seed))
+    groups = prints.join(near.withColumnRenamed("node", "wide"), "wide", "left").select("wide", F.coalesce("component", "wide").alias("group"))
+    members = nodes.filter(F.col("n") > FEW).join(groups, "wide").select("fp", "n", "group", "first")
+    sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    sizes = materialize(sizes.select("group", F.ceil(F.col("total") / PART).cast("int").alias("parts")), "groups")
+    members = members.join(sizes, "group").select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), "fp", "group", "parts")
+    members = materialize(members, "members")
+    texts = docs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("fp", "group", "parts", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = pa.array([shingle_set(t.as_py(), width, seed).tobytes() for t in b.column(3)], "binary")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], h], ["fp", "group", "parts", "h"])
+
+    rows = texts.mapInArrow(sets, "fp binary, group binary, parts int, h binary")
+    return _tiled(rows, "group", F.col("parts")).mapInArrow(lambda it: _set_links(it, likeness), "a binary, b binary")
+
+
+def _digest(text: str):
+    """128 bits that tell texts apart, null from empty too."""
+    return F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b""))
+
+
+def _copies(docs: DataFrame, text: str, doc_id: str, width: int, likeness: float, seed: int, radius: int) -> DataFrame:
+    """(id, digest, fp, least): fp names a shingle set, least is the first (none, id, digest) of its component, null ids last."""
+    exact = Fraction(str(likeness))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_simhash(t.as_py(), width, seed) for t in b.column(1)], "binary")], ["doc_id", "fp"])
+            found = []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), width, seed)
+                few = h.tobytes() if exact * len(h) <= FEW else None  # with room for partners of FEW shingles
+                found.append((xxhash.xxh3_128_digest(h.tobytes()), set_simhash(h) if len(h) > FEW else None, len(h), few))
+            fp, wide, n, few = zip(*found, strict=True) if found else ((), (), (), ())
+            cols = [pa.array(fp, "binary"), pa.array(wide, "binary"), pa.array(n, pa.int32()), pa.array(few, "binary")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "digest", "fp", "wide", "n", "h"])
+
+    rows = docs.select(F.col(doc_id).alias("id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    fps = materialize(rows.mapInArrow(run, f"id {dict(docs.dtypes)[doc_id]}, digest binary, fp binary, wide binary, n int, h binary"), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    nodes = fps.groupBy("fp").agg(F.min(place).alias("first"), F.first("wide").alias("wide"), F.first("n").alias("n"), F.first("h").alias("h"))
+    nodes = materialize(nodes, "nodes")
+    links = materialize(_few_links(nodes, exact).unionByName(_long_links(rows, nodes, exact, radius, width, seed)), "links")
+    return _named(fps.select("id", "digest", "fp"), nodes.select("fp", "first"), links).withColumnRenamed("component_id", "least")
+
+
+def near_copies(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, likeness: float = 0.8, seed: int = 42, radius: int = RADIUS
+) -> DataFrame:
+    """(doc_id, fp, component_id): one row per input row, linked where the Jaccard likeness of the distinct shingles is ``likeness`` or more.
 
-    kind = dict(docs.dtypes)[doc_id]
-    fps = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary")
-    fps = materialize(fps, "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    return _named(fps, nodes, copy_links(nodes.select("fp"), radius, seed=seed))
+    fp names the shingle set.  Every link is checked on the sets; ``radius`` (of 512 bits, meant for 0.8) bounds only which longer
+    texts are compared.  Wordless and null texts are copies of each other; a null doc_id never names a component; empty input, empty output.
+    """
+    found = _copies(docs, text, doc_id, width, likeness, seed, radius)
+    return found.select(F.col("id").alias("doc_id"), "fp", F.col("least.id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 90, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, likeness: float = 0.8, seed: int = 42, radius: int = RADIUS
+) -> DataFrame:
     """docs with one document of each component of ``near_copies``: the one whose doc_id names it.
 
-    Rows that repeat the kept doc_id give one row; rows with a null doc_id stay.
+    Rows are told apart by doc_id and text: repeats of the kept row give one row, another text under its doc_id is judged on its
+    own; rows with a null doc_id stay.
     """
-    found = near_copies(docs, text, doc_id, width, radius, seed).select("doc_id", "component_id")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")).filter("doc_id is not null")
-    ids = materialize(ids.filter("n > 1 or doc_id <> component_id"), "dropped")
-    apart = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_anti")
-    again = ids.filter("n > 1 and doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    found = _copies(docs, text, doc_id, width, likeness, seed, radius).filter("id is not null")
+    kept = (F.col("id") == F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
+    ids = found.groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(kept).alias("kept")).filter("n > 1 or not kept")
+    ids = materialize(ids.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "dropped")
+    on = (F.col(doc_id) == F.col("_id")) & (_digest(text) == F.col("_digest"))
+    apart = docs.join(ids, on, "left_anti")
+    again = ids.filter("kept")
     if again.isEmpty():
         return apart
-    one = docs.join(again, F.col(doc_id) == F.col("_id"), "left_semi").dropDuplicates([doc_id])
+    one = docs.join(again, on, "left_semi").withColumn("_text", _digest(text)).dropDuplicates([doc_id, "_text"]).drop("_text")
     return apart.unionByName(one)

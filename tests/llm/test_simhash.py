@@ -151,3 +151,47 @@ def test_drop_near_duplicates(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 5, 6, 9, 11]
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def _pair(n, common, tag):
+    """Texts of n and n distinct five-word shingles with so many in common: the second one's end is its own."""
+    a = [f"{tag}{i}" for i in range(n + 4)]
+    return " ".join(a), " ".join(a[: common + 4] + [f"{tag}x{i}" for i in range(n - common)])
+
+
+def test_links_are_checked_on_the_shingle_sets(spark):
+    """Likeness c / (2 n - c): 0.8 and more goes, all below stays, for few shingles and many."""
+    cases = [(9, 8, True), (9, 7, False), (45, 40, True), (45, 39, False), (90, 80, True), (90, 79, False), (450, 400, True), (450, 394, False)]
+    rows, want = [], []
+    for k, (n, c, like) in enumerate([x for x in cases for _ in range(25)]):
+        assert (c / (2 * n - c) >= 0.8) == like
+        rows += [(2 * k, _pair(n, c, f"t{k}w")[0]), (2 * k + 1, _pair(n, c, f"t{k}w")[1])]
+        want += [2 * k] if like else [2 * k, 2 * k + 1]
+    rows += [(9001, "a b c d e f g h"), (9002, "a b c d e f g h i")]  # four of five shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == [*want, 9001]
+
+
+def test_like_sets_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 900)
+    r = random.Random(4)
+    texts = []
+    for k in range(6):
+        base = [f"b{k}x{i}" for i in range(r.choice([20, 60, 120]))]
+        for _ in range(15):
+            t = base.copy()
+            for _ in range(r.randint(0, 4)):
+                t[r.randrange(len(t))] = f"y{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    sets = [set(S.shingle_set(t).tolist()) for t in texts]
+    want = roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in S.near_copies(docs).collect()}
+    assert got == want
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (1, a), (None, a), (None, b)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.text[0]) for r in S.drop_near_duplicates(docs).collect())
+    assert got == [(0, "a"), (0, "b"), (1, "a"), (1, "b")]
