@@ -160,10 +160,13 @@ def fit_chain(texts: list[str | None], labels: dict[str, list[int | None]], fold
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap at which out-of-fold F1 is best, within 0.3 to 0.7; 0.5 if there is nothing to tell."""
+    """Middle of the gap at which out-of-fold F1 is best, within 0.3 to 0.7.
+
+    Above every probability, so that nothing is rejected, where the known labels do not hold both classes.
+    """
     grid = np.linspace(0.3, 0.7, 41)
     if not len(y) or y.min() == y.max():
-        return 0.5
+        return 2.0
     f1 = np.array([2 * ((p >= g) & (y == 1)).sum() / max(1, (p >= g).sum() + (y == 1).sum()) for g in grid])
     best = grid[f1 >= f1.max() - 1e-12]
     return float(best[np.argmin(np.abs(best - 0.5))])
@@ -196,7 +199,8 @@ def chain_scores(text: str | None, chain: Chain, weights: _Weights) -> list[floa
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 6_000, max_chars: int = 16_000_000, folds: int = 5, text: str = "text", doc_id: str = "doc_id") -> Chain:
     """Fit on at most ``max_rows`` labelled rows, and at most about ``max_chars`` of text, by least hash of the id.
 
-    The two bounds are the only sampling: they hold the driver's memory, whatever the size of the tables.
+    The two bounds are the only sampling: they hold the driver's memory, whatever the size of the tables.  A category without
+    labels of both classes among these rows, an empty table of labels for one, rejects no document.
     """
     known = labels.select(F.col(doc_id).alias("_id"), *[F.col(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
     known = known.filter("_id is not null").orderBy(F.xxhash64("_id"), *known.columns).limit(max_rows)

@@ -65,3 +65,11 @@ def test_tables(spark):
     assert T.drop_toxic(docs.limit(0), chain).count() == 0
     assert T.train(docs.limit(0), lab, ["sad", "bad"]).categories == ["sad", "bad"]
     assert len(T.train(docs, lab, ["sad", "bad"], max_rows=50).models) == 2
+
+
+def test_without_both_classes_nothing_is_dropped(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "zonk " * 9000), (3, None)], "doc_id long, text string")
+    for rows in ([], [(1, 0, None)], [(2, 1, 1)], [(1, 1, 1), (3, 1, 1)], [(1, 0, 0)]):
+        chain = T.train(docs, spark.createDataFrame(rows, "doc_id long, sad int, bad int"), ["sad", "bad"])
+        assert T.drop_toxic(docs, chain).count() == 3
+        assert not any(r.rejected for r in T.score(docs, chain).collect())
