@@ -1,15 +1,17 @@
 """Substring dedup over sliding spans of sentences.
 
-Every sentence starts a span: the run of several consecutive sentences from it.  A run closes at three sentences, or at two once
-they hold ``enough`` words, and goes on while it holds fewer than ``least``.  Spans are hashed to 128 bits and joined over all
-documents; a span's first occurrence is the one with the least (doc_id, position).  Sentences that some non-first occurrence
-covers go; everything else, blanks included, stays byte for byte.
+Every sentence starts a span: the run of two consecutive sentences from it, or more until they hold ``least`` words.  Spans are
+hashed to 128 bits and joined over all documents; a span's first occurrence is the one with the least (doc_id, text digest, position).
+Sentences that some non-first occurrence covers go; everything else, blanks included, stays byte for byte.
 
 A sentence ends behind ``.``, ``!``, ``?`` or ``…`` (closing quotes and brackets included) before white space, and at a line
-break.  Words are compared with white space made even and A-Z lower-cased.
+break.  One of more than ``LONG`` words is cut further, before each word whose pair with the word before it has the least hash
+among its ``APART`` neighbours on both sides, and each piece counts as a sentence: a passage inside it is cut the same way
+wherever it stands.  Words are compared with white space made even and A-Z lower-cased.
 
 Defined results: a null text stays null and has no sentence; a text of fewer sentences than a run stays; a null doc_id comes
-last in the order of occurrences; rows that repeat a doc_id with the same text are one occurrence and stay together.
+last in the order of occurrences; rows that repeat a doc_id with the same text, null ids too, are one occurrence and stay
+together; rows of one doc_id, or none, with different texts are different documents.
 """
 
 from __future__ import annotations
@@ -27,44 +29,61 @@ from pyspark.sql.types import IntegerType, StructType
 from leafmill.staging import materialize
 
 END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|\s*\n\s*")
+WORD = re.compile(r"[^ \t-\r]+")
+#: Words of a sentence that is not cut further, and the words between its cuts at least.
+LONG, APART = 20, 4
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, stop) of the sentences; the white space behind one belongs to it, so they cover the text."""
+    """(start, stop) of the sentences and pieces of long ones; the white space behind one belongs to it, so they cover the text."""
     cuts = [m.end() for m in END.finditer(text)]
     out, at = [], 0
     for c in cuts:
         if text[at:c].strip():
-            out.append((at, c))
+            out += _pieces(text, at, c)
             at = c
     if at < len(text):
         if text[at:].strip() or not out:
-            out.append((at, len(text)))
+            out += _pieces(text, at, len(text))
         else:
             out[-1] = (out[-1][0], len(text))
     return out
 
 
+def _pieces(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    if len(text[start:stop].split()) <= LONG:
+        return [(start, stop)]
+    words = _even(text[start:stop]).split(b" ")
+    if len(words) <= LONG:
+        return [(start, stop)]
+    h = np.fromiter((xxhash.xxh64_intdigest(a + b" " + b) for a, b in zip(words, words[1:], strict=False)), "<u8", len(words) - 1)
+    near = np.lib.stride_tricks.sliding_window_view(h, 2 * APART + 1)
+    least = (near[:, APART] < near[:, :APART].min(axis=1)) & (near[:, APART] <= near[:, APART + 1 :].min(axis=1))
+    before = set((np.flatnonzero(least) + APART + 1).tolist())
+    cuts = [start, *(m.start() for i, m in enumerate(WORD.finditer(text, start, stop)) if i in before), stop]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _even(sentence: str) -> bytes:
     return b" ".join(sentence.encode("utf-8", "surrogatepass").lower().split())
 
 
-def spans(text: str | None, several: int = 3, enough: int = 24, least: int = 12) -> list[tuple[int, int, int, int]]:
+def spans(text: str | None, several: int = 2, least: int = 12) -> list[tuple[int, int, int, int]]:
     """(first sentence, sentences in the run, upper and lower half of the hash), one for each run of the text."""
     if not text:
         return []
     plain = [_even(text[a:b]) for a, b in sentences(text)]
     words = [p.count(b" ") + 1 if p else 0 for p in plain]
     out, n = [], len(plain)
-    for i in range(n - 1):
-        total, j = words[i], i + 1
-        while j < n:
+    for i in range(n - several + 1):
+        j = i + several
+        total = sum(words[i:j])
+        while total < least and j < n:
             total += words[j]
             j += 1
-            if total >= least and (j - i >= several or total >= enough):
-                h = xxhash.xxh3_128_intdigest(b"\n".join(plain[i:j]))
-                out.append((i, j - i, _signed(h >> 64), _signed(h & (1 << 64) - 1)))
-                break
+        if total >= least:
+            h = xxhash.xxh3_128_intdigest(b"\n".join(plain[i:j]))
+            out.append((i, j - i, _signed(h >> 64), _signed(h & (1 << 64) - 1)))
     return out
 
 
@@ -73,45 +92,51 @@ def _signed(x: int) -> int:
 
 
 def span_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
-    """(doc_id, at, n, hi, lo): every run of every text."""
-    names = ["doc_id", "at", "n", "hi", "lo"]
+    """(doc_id, digest, at, n, hi, lo): every run of every text."""
+    names = ["doc_id", "digest", "at", "n", "hi", "lo"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = [], []
-            for k, t in enumerate(b.column(1)):
+            for k, t in enumerate(b.column(2)):
                 found = spans(t.as_py(), **run)
                 rows += found
                 ids += [k] * len(found)
                 if len(rows) > 200_000:
-                    yield _batch(b.column(0), ids, rows)
+                    yield _batch(b.columns[:2], ids, rows)
                     ids, rows = [], []
-            yield _batch(b.column(0), ids, rows)
+            yield _batch(b.columns[:2], ids, rows)
 
-    def _batch(column, ids, rows):
+    def _batch(columns, ids, rows):
         m = np.array(rows, np.int64).reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([column.take(pa.array(ids, pa.int64())), pa.array(m[:, 0], pa.int32()), pa.array(m[:, 1], pa.int32()), pa.array(m[:, 2]), pa.array(m[:, 3])], names)
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(ids, pa.int64())) for c in columns), pa.array(m[:, 0], pa.int32()), pa.array(m[:, 1], pa.int32()), pa.array(m[:, 2]), pa.array(m[:, 3])], names)
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, at int, n int, hi long, lo long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, digest binary, at int, n int, hi long, lo long")
+
+
+def _digest(text: str):
+    """128 bits that tell texts under one doc_id apart."""
+    return F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b""))
 
 
 def covered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
-    """(doc_id, gone): the sentence numbers that non-first spans cover, for the documents that have any."""
+    """(doc_id, digest, gone): the sentence numbers that non-first spans cover, for the documents that have any."""
     table = span_table(docs, text, doc_id, **run)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "at")
     shared = table.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     shared = materialize(shared, "shared")  # a table of its own, so that a hot span's side of the join can be split
     again = table.join(shared, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first")))
-    each = again.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
-    return each.groupBy("doc_id").agg(F.collect_set("s").alias("gone"))
+    each = again.select("doc_id", "digest", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
+    return each.groupBy("doc_id", "digest").agg(F.collect_set("s").alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
     """docs with the repeated sentences cut out of the text, plus ``n_sentences`` and ``n_removed``."""
-    assert not {"n_sentences", "n_removed", "_gone", "_id"} & set(docs.columns), "column names clash"
-    gone = covered(docs, text, doc_id, **run).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    both = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
+    assert not {"n_sentences", "n_removed", "_gone", "_id", "_digest"} & set(docs.columns), "column names clash"
+    gone = covered(docs, text, doc_id, **run).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_gone"))
+    both = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (_digest(text) == F.col("_digest")), "left").drop("_id", "_digest")
     names = docs.columns
     at = names.index(text)
 

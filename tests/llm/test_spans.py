@@ -51,3 +51,19 @@ def test_repeated_rows_stay_together(spark):
     docs = spark.createDataFrame([(1, t), (1, t), (2, "Intro is new. " + t)], "doc_id long, text string")
     got = sorted((x.doc_id, x.text) for x in S.remove_repeats(docs).collect())
     assert got == [(1, t), (1, t), (2, "Intro is new. ")]
+
+
+def _words(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def test_passages_inside_long_sentences_and_short_runs(spark):
+    """Fifty words of one long sentence go from inside another one, and two sentences of 14 words as well."""
+    passage = " ".join(_words("p", 60))
+    rows = [(1, " ".join(_words("a", 30)) + " " + passage + " " + " ".join(_words("b", 9)) + "."), (2, " ".join(_words("c", 11)) + " " + passage + " " + " ".join(_words("d", 40)) + ".")]
+    rows += [(3, "So it goes on with us here. It is so and stays so now. Own three."), (4, "Own four. So it goes on with us here. It is so and stays so now.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in S.remove_repeats(docs).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[4] == "Own four. "
+    left = set(got[2].split())
+    assert len(left & set(_words("p", 60))) <= 30 and set(_words("c", 11)) | set(_words("d", 39)) <= left
