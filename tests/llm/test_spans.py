@@ -67,3 +67,12 @@ def test_passages_inside_long_sentences_and_short_runs(spark):
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[4] == "Own four. "
     left = set(got[2].split())
     assert len(left & set(_words("p", 60))) <= 30 and set(_words("c", 11)) | set(_words("d", 39)) <= left
+
+
+def test_rows_are_told_apart_by_text(spark):
+    t = "The first one has words enough here. The second one has some as well. "
+    rows = [(None, t + "Own a. Own b."), (None, t + "Own c. Own d."), (None, "Clean one here. Clean two here. Clean three."), (7, "Clean e. Clean f. Clean g."), (7, "Clean h. " + t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(x.text for x in S.remove_repeats(docs).collect())
+    # The row with an id comes first; both rows without one lose the passage and nothing else.
+    assert got == sorted(["Own a. Own b.", "Own c. Own d.", rows[2][1], rows[3][1], rows[4][1]])
