@@ -244,6 +244,15 @@ def edit_accuracy(spark, sf_dir):
     return e.groupBy("conv_id").agg(_r(F.avg(1 - F.col("d") / F.col("n"))).alias("mean_acc"), _r(1 - F.sum("d") / F.sum("n")).alias("pooled_acc"), _count().alias("n"))
 
 
+@query("edit_accuracy_whole")
+def edit_accuracy_whole(spark, sf_dir):
+    """Character accuracy of each whole turn against the next in code points, mean and pooled by conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _t(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).filter(F.length("b") > 0)
+    e = t.select("conv_id", F.levenshtein("a", "b").alias("d"), F.length("b").alias("n")).filter("d is not null")
+    return e.groupBy("conv_id").agg(_r(F.avg(1 - F.col("d") / F.col("n"))).alias("mean_acc"), _r(1 - F.sum("d") / F.sum("n")).alias("pooled_acc"), _count().alias("n"))
+
+
 @query(
     "seeded_draw",
     "select lang, doc_id, r::bigint rank from (select lang, doc_id, row_number() over (partition by lang order by md5('7-' || doc_id), doc_id) r from documents) where r <= 20",
