@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
     else:
         own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+        if own.startswith("file:") or "://" not in own:  # a folder of each machine's own
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.conf.set("spark.checkpoint.dir", own) if spark.conf.isModifiable("spark.checkpoint.dir") else _OWN.setdefault(spark.sparkContext.applicationId, own)
     return _OWN.get(spark.sparkContext.applicationId, own)
 
