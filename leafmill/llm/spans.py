@@ -1,8 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
 Every sentence starts a span: the run of two consecutive sentences from it, or more until they hold ``least`` words.  Spans are
-hashed to 128 bits and joined over all documents; a span's first occurrence is the one with the least (doc_id, text digest, position).
-Sentences that some non-first occurrence covers go; everything else, blanks included, stays byte for byte.
+hashed to 128 bits, written as a table and joined over all documents; a span's first occurrence is the one with the least doc_id,
+then the least hash of the row, row number and position.  Sentences that some non-first occurrence covers go; everything else,
+blanks included, stays byte for byte.
 
 A sentence ends behind ``.``, ``!``, ``?`` or ``…`` (closing quotes and brackets included) before white space, and at a line
 break.  One of more than ``LONG`` words is cut further, before each word whose pair with the word before it has the least hash
@@ -10,8 +11,9 @@ among its ``APART`` neighbours on both sides, and each piece counts as a sentenc
 wherever it stands.  Words are compared with white space made even and A-Z lower-cased.
 
 Defined results: a null text stays null and has no sentence; a text of fewer sentences than a run stays; a null doc_id comes
-last in the order of occurrences; rows that repeat a doc_id with the same text, null ids too, are one occurrence and stay
-together; rows of one doc_id, or none, with different texts are different documents.
+last in the order of occurrences; every row is a document of its own, so of rows that repeat each other, with an id or without,
+the first keeps its sentences; rows of one doc_id with different texts are different documents; of columns named like an added
+one, the added one gets a number behind its name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from leafmill.staging import materialize
+from leafmill.llm.rows import free_names, numbered, place
+from leafmill.staging import materialize, release
 
 END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|\s*\n\s*")
 WORD = re.compile(r"[^ \t-\r]+")
@@ -91,58 +94,55 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def span_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
-    """(doc_id, digest, at, n, hi, lo): every run of every text."""
-    names = ["doc_id", "digest", "at", "n", "hi", "lo"]
+def span_table(rows: DataFrame, **run) -> DataFrame:
+    """(id, tie, row, at, n, hi, lo): every run of every text; rows: (id, tie, row, text)."""
+    names = ["id", "tie", "row", "at", "n", "hi", "lo"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = [], []
-            for k, t in enumerate(b.column(2)):
-                found = spans(t.as_py(), **run)
-                rows += found
-                ids += [k] * len(found)
-                if len(rows) > 200_000:
-                    yield _batch(b.columns[:2], ids, rows)
-                    ids, rows = [], []
-            yield _batch(b.columns[:2], ids, rows)
-
-    def _batch(columns, ids, rows):
-        m = np.array(rows, np.int64).reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([*(c.take(pa.array(ids, pa.int64())) for c in columns), pa.array(m[:, 0], pa.int32()), pa.array(m[:, 1], pa.int32()), pa.array(m[:, 2]), pa.array(m[:, 3])], names)
-
-    kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, digest binary, at int, n int, hi long, lo long")
-
-
-def _digest(text: str):
-    """128 bits that tell texts under one doc_id apart."""
-    return F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b""))
-
-
-def covered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
-    """(doc_id, digest, gone): the sentence numbers that non-first spans cover, for the documents that have any."""
-    table = span_table(docs, text, doc_id, **run)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "at")
-    shared = table.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+            ids, found = [], []
+            for k, t in enumerate(b.column(3)):
+                mine = spans(t.as_py(), **run)
+                found += mine
+                ids += [k] * len(mine)
+                if len(found) > 200_000:
+                    yield _batch(b.columns[:3], ids, found)
+                    ids, found = [], []
+            yield _batch(b.columns[:3], ids, found)
+
+    def _batch(columns, ids, found):
+        m = np.array(found, np.int64).reshape(-1, 4)
+        own = (c.take(pa.array(ids, pa.int64())) for c in columns)
+        return pa.RecordBatch.from_arrays([*own, pa.array(m[:, 0], pa.int32()), pa.array(m[:, 1], pa.int32()), pa.array(m[:, 2]), pa.array(m[:, 3])], names)
+
+    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, tie long, row long, at int, n int, hi long, lo long")
+
+
+def covered(rows: DataFrame, **run) -> DataFrame:
+    """(row, gone): the sentence numbers that non-first spans cover, for the rows that have any; rows: (id, tie, row, text)."""
+    table = materialize(span_table(rows, **run), "spans")
+    where = place("id", "tie", "row", "at")
+    shared = table.groupBy("hi", "lo").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last")
     shared = materialize(shared, "shared")  # a table of its own, so that a hot span's side of the join can be split
-    again = table.join(shared, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first")))
-    each = again.select("doc_id", "digest", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
-    return each.groupBy("doc_id", "digest").agg(F.collect_set("s").alias("gone"))
+    again = table.join(shared, ["hi", "lo"]).filter(~where.eqNullSafe(F.col("first")))
+    each = again.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
+    gone = materialize(each.groupBy("row").agg(F.collect_set("s").alias("gone")), "gone")
+    release(table), release(shared)
+    return gone
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **run) -> DataFrame:
     """docs with the repeated sentences cut out of the text, plus ``n_sentences`` and ``n_removed``."""
-    assert not {"n_sentences", "n_removed", "_gone", "_id", "_digest"} & set(docs.columns), "column names clash"
-    gone = covered(docs, text, doc_id, **run).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_gone"))
-    both = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (_digest(text) == F.col("_digest")), "left").drop("_id", "_digest")
     names = docs.columns
+    total, lost, row, tie, cut = free_names(names, "n_sentences", "n_removed", "row", "tie", "gone")
+    table = numbered(docs, row, tie)
+    gone = covered(table.select(F.col(doc_id).alias("id"), F.col(tie).alias("tie"), F.col(row).alias("row"), F.col(text).alias("text")), **run)
+    both = table.join(gone.select(F.col("row").alias(row), F.col("gone").alias(cut)), row, "left").select(*[F.col(f"`{c}`") for c in names], cut)
     at = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, cut = [], [], []
+            texts, counts, cuts = [], [], []
             for t, g in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 found = sentences(t) if t else []
                 drop = set(g or ())
@@ -150,9 +150,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     t = "".join(t[a:z] for i, (a, z) in enumerate(found) if i not in drop)
                 texts.append(t)
                 counts.append(len(found))
-                cut.append(len(drop))
+                cuts.append(len(drop))
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(cut, pa.int32())], [*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(cuts, pa.int32())], [*names, total, lost])
 
-    schema = StructType(docs.schema.fields).add("n_sentences", IntegerType()).add("n_removed", IntegerType())
+    schema = StructType(list(docs.schema.fields)).add(total, IntegerType()).add(lost, IntegerType())
     return both.mapInArrow(work, schema)

@@ -1,6 +1,7 @@
 import random
 
 from leafmill.llm import spans as S
+from leafmill.llm.rows import row_hash
 
 
 def test_sentences_cover_the_text():
@@ -14,18 +15,22 @@ def test_sentences_cover_the_text():
 
 
 def brute(rows):
-    """(doc_id, text) -> kept text, by comparing every run with every other."""
+    """(row, doc_id, hash of the row, text) -> row: kept text, by comparing every run with every other."""
     runs = []
-    for i, t in rows:
+    for k, i, tie, t in rows:
         plain = [" ".join(t[a:b].lower().split()) for a, b in S.sentences(t)] if t else []
         for at, n, *_ in S.spans(t):
-            runs.append(("\n".join(plain[at : at + n]), i is None, i or 0, at, n))
+            runs.append(("\n".join(plain[at : at + n]), (i is None, i or 0, tie, k, at), n))
     drop = {}
-    for run in runs:
-        first = min(x[1:4] for x in runs if x[0] == run[0])
-        if first != run[1:4]:
-            drop.setdefault(None if run[1] else run[2], set()).update(range(run[3], run[3] + run[4]))
-    return {i: t and "".join(t[a:b] for k, (a, b) in enumerate(S.sentences(t)) if k not in drop.get(i, ())) for i, t in rows}
+    for run, where, n in runs:
+        first = min(x[1] for x in runs if x[0] == run)
+        if first != where:
+            drop.setdefault(where[3], set()).update(range(where[4], where[4] + n))
+    return {k: t and "".join(t[a:b] for j, (a, b) in enumerate(S.sentences(t)) if j not in drop.get(k, ())) for k, _, _, t in rows}
+
+
+def hashed(docs):
+    return {r.k: r.h for r in docs.select("k", row_hash(docs).alias("h")).collect()}
 
 
 def test_against_brute_force(spark):
@@ -39,18 +44,30 @@ def test_against_brute_force(spark):
             t[r.randint(0, len(t)) : 0] = r.choice(passages)
         rows.append((i, "".join(t)))
     rows += [(100, None), (101, ""), (None, "".join(passages[0])), (102, "".join(passages[1]) + "x " * 100000)]
-    docs = spark.createDataFrame([(*x, 5) for x in rows], "doc_id long, text string, gone int").repartition(4)
+    rows += [(None, rows[3][1]), (None, "".join(passages[0])), (7, "".join(passages[2])), (7, rows[7][1]), (None, None)]
+    docs = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, k int").repartition(4)
     got = S.remove_repeats(docs)
-    assert got.columns == ["doc_id", "text", "gone", "n_sentences", "n_removed"]
-    assert {x.doc_id: x.text for x in got.collect()} == brute(rows)
+    assert got.columns == ["doc_id", "text", "k", "n_sentences", "n_removed"]
+    tie = hashed(docs)
+    assert {x.k: x.text for x in got.collect()} == brute([(k, i, tie[k], t) for k, (i, t) in enumerate(rows)])
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_repeated_rows_stay_together(spark):
+def test_repeated_rows_are_documents_of_their_own(spark):
     t = "The first one has words enough here. The second one has some as well. And a third to close it."
-    docs = spark.createDataFrame([(1, t), (1, t), (2, "Intro is new. " + t)], "doc_id long, text string")
-    got = sorted((x.doc_id, x.text) for x in S.remove_repeats(docs).collect())
-    assert got == [(1, t), (1, t), (2, "Intro is new. ")]
+    for key in (1, None):
+        docs = spark.createDataFrame([(key, t), (key, t), (2, "Intro is new. " + t)], "doc_id long, text string").repartition(2)
+        got = sorted((str(x.doc_id), x.text) for x in S.remove_repeats(docs).collect())
+        first = ("1", t) if key else ("2", "Intro is new. " + t)
+        assert got == sorted([first, (str(key), ""), ("2", "Intro is new. ") if key else ("None", "")])
+
+
+def test_clashing_names(spark):
+    t = "The first one has words enough here. The second one has some as well."
+    docs = spark.createDataFrame([(1, t, 7, 8, 9), (2, t, 7, 8, 9)], "doc_id long, text string, n_removed int, GONE int, row int")
+    got = S.remove_repeats(docs)
+    assert got.columns == [*docs.columns, "n_sentences", "n_removed_1"]
+    assert sorted(map(tuple, got.collect())) == [(1, t, 7, 8, 9, 2, 0), (2, "", 7, 8, 9, 2, 2)]
 
 
 def _words(tag, n):
