@@ -9,17 +9,20 @@
 4. A tile reports a spanning set of its links; distributed components join them.
 
 Copies at a Jaccard likeness of 0.8 differ in about 15 of 100 bits, far beyond a radius of 2.  ``near_copies`` finds them with
-wider fingerprints over distinct shingles: texts whose fingerprints agree on one of ``WAYS`` keys of sampled bits meet in a tile,
+wider fingerprints over distinct shingles: texts whose fingerprints agree on one of many keys of sampled bits meet in a tile (the more texts,
+the longer and the more the keys, so that the texts of a key stay as many),
 and the same bit-sliced comparison names candidates within a loose radius.  Texts of few shingles, whose fingerprints say little,
 meet under the least hashes of their shingle sets instead, of which two sets of the likeness share one without exception.  A
 link is only what the shingle sets themselves confirm; the search for candidates among longer texts may miss, but for few pairs.
 
 Defined results: a null or word-less text has fingerprint 0 and links like any other; repeated rows share everything; a null
-doc_id takes part but never names a component (a component of null ids only has a null id).
+doc_id takes part but never names a component (a component of null ids only has a null id); extra columns, whatever their names,
+pass through where rows are dropped; empty input, empty output.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.rows import free_names, numbered, place
 from leafmill.operators.components import connected_components
 from leafmill.staging import materialize, release
 
@@ -38,8 +42,10 @@ BITS = 64
 CHUNK = 1 << 15
 #: (query, word) pairs compared at a time.
 PAIRS = 1 << 13
-#: Wide fingerprints: 64-bit words, keys and the bits of each (every run of keys over all bits permutes them anew).
-WORDS, WAYS, KEY_BITS = 8, 80, 13
+#: Wide fingerprints: 64-bit words, the least bits of a key, and the texts that a key's bits let meet on average once there are more.
+WORDS, KEY_BITS, MEETING = 8, 13, 2048
+#: Keys broadcast at most, as hot ones.
+HOT_KEYS = 200_000
 #: Candidates differ in so many of 512 bits at most: a pair at a likeness of 0.8 differs in 77, give or take 8.
 RADIUS = 115
 #: Texts of so many distinct shingles or fewer are compared without fingerprints; shingles in a part of a tile of sets.
@@ -293,34 +299,47 @@ def _wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield links(held_t, held_f)
 
 
-def _sampled_keys(fps: list[bytes], seed: int) -> np.ndarray:
-    """(len(fps), WAYS) keys: the way's number above its sampled bits."""
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    rng, runs = np.random.default_rng(seed), -(-WAYS * KEY_BITS // bits.shape[1])
-    places = np.concatenate([rng.permutation(bits.shape[1]) for _ in range(runs)])[: WAYS * KEY_BITS].reshape(WAYS, KEY_BITS)
-    weight = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    return np.stack([bits[:, p] @ weight for p in places], axis=1) + (np.arange(WAYS, dtype=np.int64) << KEY_BITS)
+def key_plan(n: int) -> tuple[int, int]:
+    """(bits of a key, keys) for n fingerprints.
+
+    Two texts at a likeness of 0.8 agree on a bit with a chance of 0.85, so a key of more bits needs more keys beside it to miss as
+    few of them: a pair shares 9.6 keys on average, at every size.
+    """
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, n) / MEETING)))
+    return bits, math.ceil(9.6 / 0.85**bits)
+
+
+def _sampled_keys(fps: list[bytes], seed: int, bits: int, ways: int) -> np.ndarray:
+    """(len(fps), ways) keys: the way's number above its sampled bits (every run of keys over all bits permutes them anew)."""
+    bit = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    rng, runs = np.random.default_rng(seed), -(-ways * bits // bit.shape[1])
+    places = np.concatenate([rng.permutation(bit.shape[1]) for _ in range(runs)])[: ways * bits].reshape(ways, bits)
+    weight = 1 << np.arange(bits, dtype=np.int64)
+    return np.stack([bit[:, p] @ weight for p in places], axis=1) + (np.arange(ways, dtype=np.int64) << bits)
 
 
 def copy_links(nodes: DataFrame, radius: int, tile: int = 16384, seed: int = 42) -> DataFrame:
     """(a, b): links that connect what fingerprints of a common key and at radius or fewer bits connect; nodes has distinct ``fp``.
 
     Keys that more than ``tile`` fingerprints share are cut into tiles of pairs of their parts.  The table of such keys is
-    broadcast: it has at most WAYS << KEY_BITS rows of two numbers, whatever the corpus holds.
+    broadcast while it has at most ``HOT_KEYS`` rows of two numbers; beyond that it is joined by key.
     """
+    nodes = materialize(nodes, "prints")
+    bits, ways = key_plan(nodes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 fps = b.column(0).slice(lo, 1024).to_pylist()
-                key = _sampled_keys(fps, seed).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps, "binary").take(pa.array(np.repeat(np.arange(len(fps)), WAYS)))], ["key", "fp"])
+                key = _sampled_keys(fps, seed, bits, ways).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps, "binary").take(pa.array(np.repeat(np.arange(len(fps)), ways)))], ["key", "fp"])
 
     keyed = nodes.mapInArrow(keys, "key long, fp binary")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
+    hot = F.broadcast(counts) if counts.count() <= HOT_KEYS else counts
     parts = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    rows = keyed.join(F.broadcast(counts), "key", "left").select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = keyed.join(hot, "key", "left").select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "fp")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _wide_links(it, radius), "a binary, b binary")
 
@@ -392,9 +411,10 @@ def _named(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )
     rooted = materialize(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # A table of its own, so that a large component's side of the join can be split.
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    release(nodes), release(rooted)
+    release(nodes), release(rooted), release(least)
     return fps.join(named, "fp")
 
 
@@ -476,9 +496,9 @@ def _long_links(docs: DataFrame, nodes: DataFrame, likeness: Fraction, radius: i
     members = nodes.filter(F.col("n") > FEW).join(groups, "wide").select("fp", "n", "group", "first")
     sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     sizes = materialize(sizes.select("group", F.ceil(F.col("total") / PART).cast("int").alias("parts")), "groups")
-    members = members.join(sizes, "group").select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), "fp", "group", "parts")
+    members = members.join(sizes, "group").select(F.col("first.row").alias("row"), "fp", "group", "parts")
     members = materialize(members, "members")
-    texts = docs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("fp", "group", "parts", "text")
+    texts = docs.join(members, "row").select("fp", "group", "parts", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -489,33 +509,27 @@ def _long_links(docs: DataFrame, nodes: DataFrame, likeness: Fraction, radius: i
     return _tiled(rows, "group", F.col("parts")).mapInArrow(lambda it: _set_links(it, likeness), "a binary, b binary")
 
 
-def _digest(text: str):
-    """128 bits that tell texts apart, null from empty too."""
-    return F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b""))
-
-
-def _copies(docs: DataFrame, text: str, doc_id: str, width: int, likeness: float, seed: int, radius: int) -> DataFrame:
-    """(id, digest, fp, least): fp names a shingle set, least is the first (none, id, digest) of its component, null ids last."""
+def _copies(docs: DataFrame, width: int, likeness: float, seed: int, radius: int) -> DataFrame:
+    """(row, fp, least): fp names a shingle set, least is the place of the first row of its component; docs: (id, tie, row, text)."""
     exact = Fraction(str(likeness))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for t in b.column(2):
+            for t in b.column(3):
                 h = shingle_set(t.as_py(), width, seed)
                 few = h.tobytes() if exact * len(h) <= FEW else None  # with room for partners of FEW shingles
                 found.append((xxhash.xxh3_128_digest(h.tobytes()), set_simhash(h) if len(h) > FEW else None, len(h), few))
             fp, wide, n, few = zip(*found, strict=True) if found else ((), (), (), ())
             cols = [pa.array(fp, "binary"), pa.array(wide, "binary"), pa.array(n, pa.int32()), pa.array(few, "binary")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "digest", "fp", "wide", "n", "h"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["id", "tie", "row", "fp", "wide", "n", "h"])
 
-    rows = docs.select(F.col(doc_id).alias("id"), _digest(text).alias("digest"), F.col(text).alias("text"))
-    fps = materialize(rows.mapInArrow(run, f"id {dict(docs.dtypes)[doc_id]}, digest binary, fp binary, wide binary, n int, h binary"), "fingerprints")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    nodes = fps.groupBy("fp").agg(F.min(place).alias("first"), F.first("wide").alias("wide"), F.first("n").alias("n"), F.first("h").alias("h"))
+    kind = dict(docs.dtypes)["id"]
+    fps = materialize(docs.select("id", "tie", "row", "text").mapInArrow(run, f"id {kind}, tie long, row long, fp binary, wide binary, n int, h binary"), "fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min(place("id", "tie", "row")).alias("first"), F.first("wide").alias("wide"), F.first("n").alias("n"), F.first("h").alias("h"))
     nodes = materialize(nodes, "nodes")
-    links = materialize(_few_links(nodes, exact).unionByName(_long_links(rows, nodes, exact, radius, width, seed)), "links")
-    return _named(fps.select("id", "digest", "fp"), nodes.select("fp", "first"), links).withColumnRenamed("component_id", "least")
+    links = materialize(_few_links(nodes, exact).unionByName(_long_links(docs, nodes, exact, radius, width, seed)), "links")
+    return _named(fps.select("row", "fp"), nodes.select("fp", "first"), links).withColumnRenamed("component_id", "least")
 
 
 def near_copies(
@@ -526,26 +540,22 @@ def near_copies(
     fp names the shingle set.  Every link is checked on the sets; ``radius`` (of 512 bits, meant for 0.8) bounds only which longer
     texts are compared.  Wordless and null texts are copies of each other; a null doc_id never names a component; empty input, empty output.
     """
-    found = _copies(docs, text, doc_id, width, likeness, seed, radius)
+    rows = numbered(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "row", "tie")
+    found = _copies(rows, width, likeness, seed, radius).join(rows.select("row", "id"), "row")
     return found.select(F.col("id").alias("doc_id"), "fp", F.col("least.id").alias("component_id"))
 
 
 def drop_near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, likeness: float = 0.8, seed: int = 42, radius: int = RADIUS
 ) -> DataFrame:
-    """docs with one document of each component of ``near_copies``: the one whose doc_id names it.
+    """docs with one row of each component of ``near_copies``: the one of the least doc_id, null ids last.
 
-    Rows are told apart by doc_id and text: repeats of the kept row give one row, another text under its doc_id is judged on its
-    own; rows with a null doc_id stay.
+    Every row is a document of its own: rows of one doc_id, or of none, are judged by their texts; of rows that share the least id,
+    the one with the least hash of all its columns stays.
     """
-    found = _copies(docs, text, doc_id, width, likeness, seed, radius).filter("id is not null")
-    kept = (F.col("id") == F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
-    ids = found.groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(kept).alias("kept")).filter("n > 1 or not kept")
-    ids = materialize(ids.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "dropped")
-    on = (F.col(doc_id) == F.col("_id")) & (_digest(text) == F.col("_digest"))
-    apart = docs.join(ids, on, "left_anti")
-    again = ids.filter("kept")
-    if again.isEmpty():
-        return apart
-    one = docs.join(again, on, "left_semi").withColumn("_text", _digest(text)).dropDuplicates([doc_id, "_text"]).drop("_text")
-    return apart.unionByName(one)
+    row, tie = free_names(docs.columns, "row", "tie")
+    table = numbered(docs, row, tie)
+    own = table.select(F.col(doc_id).alias("id"), F.col(tie).alias("tie"), F.col(row).alias("row"), F.col(text).alias("text"))
+    found = _copies(own, width, likeness, seed, radius)
+    gone = materialize(found.filter(F.col("row") != F.col("least.row")).select(F.col("row").alias(row)), "gone")
+    return table.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -149,7 +149,7 @@ def test_drop_near_duplicates(spark):
     docs = spark.createDataFrame([(i + 2, t, i) for i, t in enumerate(texts)] + [(2, texts[0], 77), (None, texts[0], 78)], "doc_id long, text string, fp int")
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 5, 6, 9, 11]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [2, 5, 6, 9, 11]
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -194,4 +194,36 @@ def test_one_id_with_two_texts(spark):
     a, b = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
     docs = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (1, a), (None, a), (None, b)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.text[0]) for r in S.drop_near_duplicates(docs).collect())
-    assert got == [(0, "a"), (0, "b"), (1, "a"), (1, "b")]
+    assert got == [(1, "a"), (1, "b")]
+
+
+def test_rows_without_an_id_and_clashing_names(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    rows = [(None, a, 1, 1, "p"), (None, a, 1, 1, "p"), (None, b, 2, 2, "q"), (None, c, 3, 3, "r"), (5, c, 4, 4, "s"), (5, c, 9, 9, "t"), (5, c, 4, 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, TIE int, component_id string").repartition(3)
+    got = S.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == 3 and {rows[0], rows[2]} <= set(kept) and {k[0] for k in kept} == {None, 5}
+    again = [tuple(r) for r in S.drop_near_duplicates(docs.repartition(7)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in S.near_copies(docs).collect()) == [("5", "5")] * 3 + [("None", "5")] + [("None", "None")] * 3
+
+
+def test_keys_grow_with_the_texts():
+    """The texts of a key stay bounded on average, and a pair shares as many keys at every size."""
+    for n in (0, 1, 10**5, 10**7, 10**9, 10**11):
+        bits, ways = S.key_plan(n)
+        assert n / 2**bits <= S.MEETING and ways * 0.85**bits >= 9.6 and ways << bits < 1 << 62
+    assert S.key_plan(10**6) == (13, 80)
+
+
+def test_hot_keys_beyond_the_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    f = sorted({x.tobytes() for x in _mutants(r, r.integers(0, 2**63, 8, dtype=np.uint64), 60, 20)})
+    nodes = spark.createDataFrame([(x,) for x in f], "fp binary")
+    from leafmill.operators.components import connected_components
+
+    for most in (S.HOT_KEYS, 0):
+        monkeypatch.setattr(S, "HOT_KEYS", most)
+        assert {bytes(x.component) for x in connected_components(S.copy_links(nodes, 90, 20)).collect()} == {f[0]}
