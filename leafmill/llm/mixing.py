@@ -7,10 +7,13 @@ becomes 0 or 1, and the winner carries the mass on.  Documents of like size play
 leaves over plays in the next level of the tree, up to one document for each source, which a last draw decides.  So every
 document keeps its chance, every block's copies are right to less than one, and so are the words, nearly.
 
+Rows equal in every column are one player with their number: units that play among themselves first end as so many copies and one
+open fraction, which is worked out at once, so that no block grows with repeated rows.
+
 All draws are hashes of a seed and the players, so reruns agree whatever the partitioning.
 
 Defined results: a null text has size 0; a source without words, or an empty table, has target 0 and takes nothing; rows that
-repeat each other are documents of their own; a null doc_id is a document like any other.
+repeat each other are documents of their own; a null doc_id is a document like any other; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.rows import free_names, row_hash
 from leafmill.staging import materialize, release
 
 #: Documents that play one after the other in one task.
@@ -25,16 +29,23 @@ BLOCK = 200
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Equal rows that one task writes out at a time.
+CHUNK = 100_000
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, tie): words between ASCII blanks, and a hash of the row for fixed orders."""
-    n = F.regexp_count(F.col(text), F.lit(WORD)).cast("long")
-    tie = F.xxhash64(doc_id, source, text).alias("tie")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(n, F.lit(0).cast("long")).alias("size"), tie)
+    """(doc_id, source, size, tie, rows): words between ASCII blanks, a hash of the row for fixed orders, and how many rows are equal."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"), row_hash(docs).alias("tie"))
+    return own.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("rows"))
 
 
 def source_targets(sized: DataFrame, weights: list[float], share: float, bound: float) -> DataFrame:
     """(source, source_size, target): a row per source."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     per = materialize(per, "sources")
     # Place of each source in code-point order: rows are numbered within ranges, and the ranges' counts are added up.
     ranges = materialize(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranges")
@@ -98,28 +109,21 @@ def _play(units: Column, kind: str, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3, 1, 2),
-    share: float = 1.5,
-    bound: float = 2.0,
-    seed: int = 20,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    source: str = "source",
-) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken): a row for each row of docs."""
+def _settled(docs: DataFrame, weights, share: float, bound: float, seed: int, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal rows (doc_id, source, size, tie, rows, whole, more, source_size, target): each row has ``whole`` copies, and
+    the group ``more`` beside them, one a row; and what holds the parts, to release."""
     sized = materialize(sizes(docs, text, doc_id, source), "sizes")
     targets = materialize(source_targets(sized, list(weights), share, bound), "targets")
     kind = dict(sized.dtypes)["doc_id"]
     t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(bound)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
-    rows = rows.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    # Classes of like size, eight to a doubling, and in each as many blocks as its rows fill.
+    rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("mass", F.col("rows") * (F.col("rate") - F.col("whole")))
+    rows = rows.withColumn("p", F.col("mass") - F.floor("mass"))
+    # Classes of like size, eight to a doubling, and in each as many blocks as its groups fill.
     klass = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    rows = materialize(rows.withColumn("klass", klass), "rows")
-    # Row counts: per source and class, summed before the shuffle; classes are some hundreds at most for any size of text.
+    rows = materialize(rows.withColumn("klass", klass), "groups")
+    # Counts: per source and class, summed before the shuffle; classes are some hundreds at most for any size of text.
     filled = rows.groupBy("source", "klass").agg(F.count("*").alias("n"))
     filled = materialize(filled.select(F.col("source").alias("_source"), F.col("klass").alias("_klass"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "filled")
     most = filled.agg(F.max("blocks")).first()[0] or 1
@@ -127,7 +131,7 @@ def mix(
     block = F.pmod(F.xxhash64("tie", F.lit(seed)), F.col("blocks"))
     level = rows.join(filled, F.col("source").eqNullSafe(F.col("_source")) & (F.col("klass") == F.col("_klass")))
     level = level.select("source", F.col("klass").alias("klass"), block.alias("block"), unit.alias("unit"))
-    settled, made = [], []
+    settled, made = [], [sized, targets, rows, filled]
     keys = [["source", "klass", "block"]]
     step = most
     while step > 1:  # blocks of a class meet
@@ -145,28 +149,77 @@ def mix(
         level = rest.select(*[c.alias(k) for k, c in columns.items()], F.col("out.left").alias("unit"))
     last = level.select("source", (_uniform(seed - 1, F.col("unit.doc_id"), F.col("unit.tie")) < F.col("unit.p")).cast("int").alias("copy"), "unit.size", "unit.doc_id", "unit.tie")
     settled.append(last)
-    whole = settled[0]
+    drawn = settled[0]
     for s in settled[1:]:
-        whole = whole.unionByName(s)
-    out = whole.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    copies = (F.floor(rate) + F.col("copy")).cast("int")
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+        drawn = drawn.unionByName(s)
+    names = ["source", "doc_id", "tie", "size"]
+    drawn = drawn.select(*[F.col(c).alias(f"_{c}") for c in names], "copy")
+    same = F.lit(True)
+    for c in names:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = rows.join(drawn, same).withColumn("more", F.floor("mass").cast("long") + F.col("copy"))
+    return out.select("doc_id", "source", "size", "tie", "rows", "whole", "more", "source_size", "target"), made
+
+
+def _spread(df: DataFrame, n: str, number: str, salt: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, numbered from 1 in ``number``: large numbers are dealt over tasks before they are written out."""
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))
+    small = df.filter(F.col(n).between(1, CHUNK)).withColumn(salt, F.lit(0).cast("long"))
+    large = df.filter(F.col(n) > CHUNK).withColumn(salt, F.explode(chunks)).repartition(F.col(salt))
+    span = F.sequence(F.col(salt) * CHUNK + 1, F.least(F.col(n), (F.col(salt) + 1) * CHUNK))
+    return small.unionByName(large).withColumn(number, F.explode(span)).drop(salt)
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    bound: float = 2.0,
+    seed: int = 20,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    source: str = "source",
+) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, taken): a row for each row of docs."""
+    groups, made = _settled(docs, weights, share, bound, seed, text, doc_id, source)
+    groups = materialize(groups, "copies")
+    for m in made:
+        release(m)
+    each = _spread(groups, "rows", "nth", "part")
+    copies = (F.col("whole") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).cast("int")
+    return each.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def taken_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+def taken_documents(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    source: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    bound: float = 2.0,
+    seed: int = 20,
+) -> DataFrame:
     """docs with each row as often as the mix takes it; every repeat has the same columns.
 
-    Rows that share id, source and size share one number of copies (the sum over them is what the mix gives them).
+    Rows equal in every column stand for each other: their copies together are written from one of them.
     """
-    found = mix(docs, text=text, doc_id=doc_id, source=source, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    found = materialize(found, "copies")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_sum", "_rows")
-    n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    groups, made = _settled(docs, weights, share, bound, seed, text, doc_id, source)
+    total = F.col("rows") * F.col("whole") + F.col("more")
+    groups = materialize(groups.select("doc_id", "tie", "rows", total.alias("n")), "copies")
+    for m in made:
+        release(m)
+    own_id, tie, own, count, copies, nth, part = free_names(docs.columns, "row_id", "row_tie", "row_own", "row_count", "row_copies", "row_nth", "row_part")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    groups = groups.select(F.col("doc_id").alias(own_id), F.col("tie").alias(tie), F.col("rows").alias(count), F.col("n").alias(copies)).filter(F.col(copies) > 0)
     # A row per document on either side: sorted at every size, never broadcast.
-    both = docs.withColumn("_n", n).join(found.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    own = F.col("_sum")
-    if not found.filter("_rows > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(text)))
-        both = both.withColumn("_place", place)
-        own = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), own.cast("int")))).select(*docs.columns)
+    on = F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(tie))
+    hashed = docs.withColumn(own, row_hash(docs))
+    # One row takes as many copies as the bound lets it.
+    out = hashed.join(groups.filter(F.col(count) == 1).hint("merge"), on).withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*columns)
+    many = groups.filter(F.col(count) > 1)
+    if many.isEmpty():
+        return out
+    found = hashed.join(many, on).groupBy(own_id, tie, copies).agg(*[F.first(c).alias(f"{own}_{i}") for i, c in enumerate(columns)])
+    found = found.select(copies, *[F.col(f"{own}_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return out.unionByName(_spread(materialize(found, "repeated"), copies, nth, part).select(*columns))

@@ -74,3 +74,57 @@ def test_empty_and_taken(spark):
     got = Counter((x.doc_id, x.source) for x in M.taken_documents(docs).collect())
     assert got == +want
     assert M.taken_documents(docs.limit(0)).columns == docs.columns
+
+
+def _replay(units, seed):
+    """The pairing of a block in plain Python: what is settled, and what is left open; draws come from the given function."""
+    left, done = None, []
+    for u in units:
+        if left is None:
+            left = u
+            continue
+        total = left["p"] + u["p"]
+        low = total < 1
+        chance = left["p"] / max(total, 1e-300) if low else (1 - u["p"]) / max(2 - total, 1e-300)
+        hit = seed(left, u) < chance
+        carries, settles = (left, u) if hit == low else (u, left)
+        done.append((settles["doc_id"], 0 if low else 1))
+        left = {**carries, "p": total if low else total - 1}
+    return left, done
+
+
+def test_pairing_against_a_replay(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    units = [{"size": r.randint(0, 9), "tie": r.getrandbits(60), "doc_id": k, "p": r.choice([0.0, 0.25, r.random(), 0.75])} for k in range(40)]
+    pairs = [(a["doc_id"], a["tie"], b["doc_id"], b["tie"], a["size"], b["size"]) for a in units for b in units]
+    table = spark.createDataFrame(pairs, "a long, s long, b long, t long, c long, d long")
+    draws = {(x.a, x.b): x.u for x in table.select("a", "b", M._uniform(5, *[F.col(c) for c in "asbtcd"]).alias("u")).collect()}
+    kind = "array<struct<size:bigint,tie:bigint,doc_id:bigint,p:double>>"
+    one = spark.createDataFrame([([tuple(u[k] for k in ("size", "tie", "doc_id", "p")) for u in units],)], f"units {kind}")
+    got = one.select(M._play(F.col("units"), "bigint", 5).alias("o")).first().o
+    left, done = _replay(units, lambda a, b: draws[a["doc_id"], b["doc_id"]])
+    assert [(x.doc_id, x.copy) for x in got.done] == done and got.left.doc_id == left["doc_id"] and abs(got.left.p - left["p"]) < 1e-12
+
+
+def test_equal_rows_are_one_player(spark, monkeypatch):
+    """Thousands of equal rows, with an id or without, fill no block, and take the copies that their number is worth."""
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "CHUNK", 100)
+    rows = [(1, "a b c", "s")] * 1000 + [(None, "d e", "s")] * 500 + [(k, "x y z", "t") for k in range(50)]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, source string, row_copies int, _size int").repartition(3)
+    assert M.sizes(docs).count() == 52
+    got = Counter((x.doc_id, x.source, x.copies) for x in M.mix(docs).collect())
+    assert sum(got.values()) == len(rows)
+    for key, n in (((1, "s"), 1000), ((None, "s"), 500)):
+        rate = (1.5 * 4150 - 2 * 150) / 4000  # the small source is held at twice its size
+        want = min(2.0, rate) * n
+        assert abs(sum(k[2] * v for k, v in got.items() if k[:2] == key) - want) <= 1
+    taken = M.taken_documents(docs)
+    assert taken.columns == docs.columns
+    copies = Counter((x.doc_id, x.source) for x in taken.collect())
+    want = Counter()
+    for k, v in got.items():
+        want[k[:2]] += k[2] * v
+    assert copies == +want
