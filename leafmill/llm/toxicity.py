@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -196,32 +196,28 @@ def chain_scores(text: str | None, chain: Chain, weights: _Weights) -> list[floa
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 6_000, max_chars: int = 16_000_000, folds: int = 5, text: str = "text", doc_id: str = "doc_id") -> Chain:
-    """Fit on at most ``max_rows`` labelled rows, and at most about ``max_chars`` of text, by least hash of the id.
+def train(
+    docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 6_000, max_chars: int = 16_000_000, max_text: int = 21_000, folds: int = 5, text: str = "text", doc_id: str = "doc_id"
+) -> Chain:
+    """Fit on at most ``max_rows`` labelled rows and ``max_chars`` of text, by least hash of the id, no text longer than ``max_text``.
 
-    The two bounds are the only sampling: they hold the driver's memory, whatever the size of the tables.  A category without
-    labels of both classes among these rows, an empty table of labels for one, rejects no document.
+    These three bounds are the only sampling; they hold what comes to the driver, whatever the size of the tables, and nothing
+    else: scores are given to all rows and whole texts.  Of documents that share a labelled id, the one with the least digest is
+    the training row; of labels that share an id, all are.  A category without labels of both classes among these rows, an empty
+    table of labels for one, rejects no document.
     """
-    known = labels.select(F.col(doc_id).alias("_id"), *[F.col(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
-    known = known.filter("_id is not null").orderBy(F.xxhash64("_id"), *known.columns).limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.length(text).alias("_n"))
-    fair = max(2_000, max_chars // max_rows * 8)  # a text longer than this is no training row; scoring takes it whole
-    both = rows.filter(F.coalesce("_n", F.lit(0)) <= fair).join(F.broadcast(known), "_id")
-    got = both.collect()
-    got.sort(key=lambda r: (r["_id"], r["_t"] or ""))
-    texts, used = [], 0
-    ys: dict[str, list[int | None]] = {c: [] for c in categories}
-    fold: list[int] = []
-    order = sorted(range(len(got)), key=lambda i: uuid.uuid5(uuid.NAMESPACE_OID, str(got[i]["_id"])).int)
-    for i in order:
-        used += len(got[i]["_t"] or "")
-        if used > max_chars and texts:
-            break
-        texts.append(got[i]["_t"])
-        fold.append(uuid.uuid5(uuid.NAMESPACE_URL, str(got[i]["_id"])).int % folds)
-        for k, c in enumerate(categories):
-            ys[c].append(got[i][f"_y{k}"])
-    return fit_chain(texts, ys, folds, fold)
+    ys_of = [f"y{i}" for i in range(len(categories))]
+    known = labels.select(F.col(doc_id).alias("id"), *[F.col(c).cast("int").alias(y) for c, y in zip(categories, ys_of, strict=True)])
+    known = known.filter("id is not null").orderBy(F.xxhash64("id"), *known.columns).limit(max_rows).select("*", F.monotonically_increasing_id().alias("label"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.coalesce(F.length(text), F.lit(0)).alias("n")).filter(F.col("n") <= max_text)
+    # One row a label, chosen before anything comes to the driver, and of these as many as the bound of characters lets in.
+    one = rows.join(F.broadcast(known), "id").groupBy("label", "id", *ys_of).agg(F.min(F.struct(F.md5("t").alias("digest"), "t", "n")).alias("least"))
+    order = Window.orderBy(F.xxhash64("id", F.lit(1)), "id", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_rows rows at most
+    one = one.withColumn("used", F.sum("least.n").over(order)).filter(F.col("used") <= max_chars)
+    got = one.select("id", F.col("least.t").alias("t"), *ys_of).collect()
+    got.sort(key=lambda r: (uuid.uuid5(uuid.NAMESPACE_OID, str(r["id"])).int, *[-1 if r[y] is None else r[y] for y in ys_of]))
+    ys = {c: [r[y] for r in got] for c, y in zip(categories, ys_of, strict=True)}
+    return fit_chain([r["t"] for r in got], ys, folds, [uuid.uuid5(uuid.NAMESPACE_URL, str(r["id"])).int % folds for r in got])
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

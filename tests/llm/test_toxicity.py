@@ -73,3 +73,35 @@ def test_without_both_classes_nothing_is_dropped(spark):
         chain = T.train(docs, spark.createDataFrame(rows, "doc_id long, sad int, bad int"), ["sad", "bad"])
         assert T.drop_toxic(docs, chain).count() == 3
         assert not any(r.rejected for r in T.score(docs, chain).collect())
+
+
+def test_a_repeated_label_or_document_brings_one_row(spark, monkeypatch):
+    texts, labels = made(60, 8)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, f"other {i}") for i in range(500)] + [(1, "x " * 30000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, labels["sad"][i], labels["bad"][i]) for i in range(60)] + [(3, 1, 0)], "doc_id long, sad int, bad int")
+    seen = []
+    monkeypatch.setattr(T, "fit_chain", lambda t, y, *a: seen.append((t, y)))
+    T.train(docs, lab, ["sad", "bad"])
+    T.train(docs.repartition(5), lab.repartition(3), ["sad", "bad"])
+    assert len(seen[0][0]) == 61 and seen[0] == seen[1] and max(map(len, seen[0][0])) < 21_000
+    T.train(docs, lab, ["sad", "bad"], max_chars=1000)
+    assert 0 < sum(map(len, seen[2][0])) <= 1000
+
+
+def test_fit_against_newton():
+    """The accelerated steps reach the minimum that Newton's method finds on the dense design."""
+    r = np.random.default_rng(6)
+    n, y = 300, r.integers(0, 2, 300).astype(float)
+    rows = [np.unique(np.concatenate(([t for t in range(8) if r.random() < (0.7 if y[i] and t < 4 else 0.25)], [9])).astype(np.int32)) for i in range(n)]
+    earlier = r.random((n, 1)) * 0.5 + 0.3 * y[:, None]
+    got = T.fit_linear(rows, y, earlier, ridge=1.0, least=1, z=1.0, steps=5000)
+    names = sorted(got.weight)
+    x = np.column_stack([[[1.0 if f in set(row.tolist()) else 0.0 for f in names] for row in rows], earlier, np.ones(n)])
+    ridge = np.diag([1.0] * (len(names) + 1) + [0.0])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+    mine = np.array([got.weight[f] for f in names] + [got.chained[0], got.constant])
+    assert len(names) >= 4 and np.abs(mine - w).max() < 1e-3
