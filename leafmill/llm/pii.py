@@ -1,15 +1,16 @@
 """PII surrogates in DataFrame functions only.
 
-Entities (mail addresses, phone numbers, card and account numbers, IPv4 addresses, secrets, titled names) are found by one
-pattern, and each is replaced by a value drawn from a keyed digest of its canonical form: the same entity gets the same
-surrogate everywhere, however it is spelled.  Surrogates keep kind, format, letter case, script, a title's gender, country
-codes, private address ranges and valid check digits.
+Entities (mail addresses, phone numbers, card and account numbers, IPv4 addresses, secrets, names behind a title, known given
+names with a surname behind them) are found by one pattern, and each is replaced by a value drawn from a keyed digest of its canonical form: the same entity gets the same
+surrogate everywhere, however it is spelled.  Surrogates keep kind, format, letter case, script, the gender of a title or given
+name, country codes, private address ranges and valid check digits (cards by Luhn, accounts by 97).
 
 Distinctness: over all entities of the table, two canonical forms never share a surrogate, and no surrogate is an entity that
 occurs.  The losers of such a collision draw again until none is left; only their documents are joined with the later draws.
 
 Defined results: a null text stays null; a text without entities stays byte for byte; repeated rows are replaced alike; null
-ids and clashing column names do not matter; an empty table gives an empty table.
+ids do not matter, nor do names of extra columns (where one is called like the added count, that gets a number behind its name);
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.rows import free_names
 from leafmill.staging import materialize, release
 
 #: Titles and given names by gender and script: fixed values.
@@ -26,11 +28,16 @@ MALE_NAMES = ["Adrian", "Bruno", "Conrad", "Dario", "Edgar", "Felix", "Gustav",
 FEMALE_NAMES = ["Alma", "Bianca", "Carla", "Doris", "Elena", "Flora", "Greta", "Helga", "Irma", "Julia", "Karin", "Linda", "Marta", "Nora", "Olga", "Paula"]
 MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Лев"]
 FEMALE_CYRILLIC = ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Инна", "Лидия"]
+#: Given names that make a name of the capitalised word behind them, beside those above: fixed values.
+OTHER_MALE = ["John", "James", "Peter", "Paul", "David", "Michael", "Robert", "Thomas", "William", "Hans", "Klaus", "Jürgen", "Jean", "Pierre", "Jacques", "Juan", "José", "Carlos", "Pablo", "Алексей", "Дмитрий", "Сергей"]
+OTHER_FEMALE = ["Mary", "Anna", "Maria", "Jennifer", "Elizabeth", "Susan", "Sarah", "Emma", "Heike", "Sabine", "Ursula", "Claire", "Camille", "Sophie", "Ana", "Isabel", "Lucía", "Ольга", "Мария", "Наталья"]
 SYLLABLES = ["ba", "ca", "da", "fa", "ga", "ha", "la", "ma", "be", "ce", "de", "fe", "ge", "le", "me", "ne", "bi", "di", "fi", "li", "mi", "ni", "ri", "si", "bo", "do", "go", "lo", "mo", "no", "ro", "to"]
 CYRILLIC_SYLLABLES = ["ба", "ва", "га", "да", "ка", "ла", "ма", "на", "бо", "во", "го", "до", "ко", "ло", "мо", "но"]
 
 _NOT_BEFORE = r"(?<![\p{L}\p{N}_.%+@-])"
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
+MALE_GIVEN, FEMALE_GIVEN = MALE_NAMES + MALE_CYRILLIC + OTHER_MALE, FEMALE_NAMES + FEMALE_CYRILLIC + OTHER_FEMALE
+_GIVEN = "|".join(sorted(MALE_GIVEN + FEMALE_GIVEN, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": _NOT_BEFORE + r"[\p{L}\p{N}_.%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
@@ -40,11 +47,12 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}{{1,30}}(?:-\p{{Lu}}\p{{Ll}}{{1,30}})?(?![\p{{L}}\p{{N}}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; texts without it are passed over.
-HINT = rf"[@\d]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[@\d]|(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLES})\.?|{_GIVEN}) \p{{Lu}}"
 LETTERS, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
@@ -70,7 +78,8 @@ def canonical(value: Column, kind: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", phone)
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.regexp_replace(value, r"^([^ .]+)\.? ", "$1 "))
+        .when(kind == "name", F.concat(F.regexp_extract(value, r"^([^ .]+)", 1), F.lit(" "), F.initcap(F.regexp_extract(value, r"^[^ ]+ (.*)$", 1))))
+        .when(kind == "person", F.initcap(value))
         .otherwise(value)
     )
 
@@ -129,6 +138,25 @@ def _card(value: Column, digest: Column) -> Column:
     return let(_recast(value, digest, keep=F.lit(1)), lambda drawn: F.when(valid, let(drawn, checked)).otherwise(drawn))
 
 
+def _rest97(plain: Column) -> Column:
+    """What an account number, its first four characters moved to the end and letters read as 10 to 35, leaves over 97."""
+    moved = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+    codes = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.ascii(F.substr(moved, i, F.lit(1))))
+    return F.aggregate(codes, F.lit(0), lambda r, c: F.when(c >= 65, (r * 100 + c - 55) % 97).otherwise((r * 10 + c - 48) % 97))
+
+
+def _iban(value: Column, digest: Column) -> Column:
+    """Country and format stay; the check digits are right where those of the original are."""
+
+    def checked(drawn: Column) -> Column:
+        open_ = F.concat(F.left(drawn, F.lit(2)), F.lit("00"), F.substr(drawn, F.lit(5)))
+        digits = F.lpad((F.lit(98) - _rest97(F.replace(open_, F.lit(" "), F.lit("")))).cast("string"), 2, "0")
+        return F.concat(F.left(drawn, F.lit(2)), digits, F.substr(drawn, F.lit(5)))
+
+    valid = _rest97(F.replace(value, F.lit(" "), F.lit(""))) == 1
+    return let(_recast(value, digest, keep=F.lit(2)), lambda drawn: F.when(valid, checked(drawn)).otherwise(drawn))
+
+
 def _ip(value: Column, digest: Column) -> Column:
     part = F.split(value, r"\.")
     first, second = F.get(part, F.lit(0)), F.get(part, F.lit(1))
@@ -139,16 +167,16 @@ def _ip(value: Column, digest: Column) -> Column:
     return F.concat_ws(".", F.when(own | pair, first).otherwise(public), F.when(pair, second).otherwise(draw(1)), draw(2), draw(3))
 
 
-def _title(names: Column, title: list[str]) -> Column:
-    return F.regexp_extract(names, r"^([^ .]+)", 1).isin(*title)
-
+def _name(value: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """A title stays; a name before another is a given name of the gender of the title, or of itself, the last one a surname.
 
-def _name(value: Column, key: str, attempt: Column) -> Column:
-    """The title stays; a name before another is a given name of the title's gender, the last one a surname."""
-    head = F.regexp_extract(value, r"^([^ ]+ )", 1)
+    Tokens are drawn by their lower-cased form, so that one person's name in capitals and without is the same.
+    """
+    head = F.when(kind == "name", F.regexp_extract(value, r"^([^ ]+ )", 1)).otherwise("")
     rest = F.substr(value, F.length(head) + 1)
     tokens = F.regexp_extract_all(rest, F.lit(r"\p{L}+"), F.lit(0))
-    male = _title(value, MALE_TITLES)
+    first_word = F.regexp_extract(value, r"^([^ .]+)", 1)
+    male = F.when(kind == "name", first_word.isin(*MALE_TITLES)).otherwise(first_word.isin(*MALE_GIVEN))
 
     def pick(names: list[str], b: Column) -> Column:
         return F.get(F.array(*[F.lit(n) for n in names]), b % len(names))
@@ -159,11 +187,11 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
         first = F.when(male & slavic, pick(MALE_CYRILLIC, b)).when(slavic, pick(FEMALE_CYRILLIC, b)).when(male, pick(MALE_NAMES, b)).otherwise(pick(FEMALE_NAMES, b))
         made = lambda syllables: F.initcap(F.concat(*[pick(syllables, _byte(d, F.lit(k))) for k in range(1, 5)]))
         last = F.when(slavic, made(CYRILLIC_SYLLABLES)).otherwise(made(SYLLABLES))
-        return F.when(given, first).when(t == F.upper(t), F.upper(last)).otherwise(last)
+        return let(F.when(given, first).otherwise(last), lambda new: F.when(t == F.upper(t), F.upper(new)).otherwise(new))
 
     def one(t: Column, i: Column) -> Column:
         given = (F.size(tokens) > 1) & (i == 0)
-        return let(_digest(key, F.when(~given, "surname").when(male, "given-m").otherwise("given-f"), t, attempt), lambda d: drawn(t, given, d))
+        return let(_digest(key, F.when(~given, "surname").when(male, "given-m").otherwise("given-f"), F.lower(t), attempt), lambda d: drawn(t, given, d))
 
     between = F.concat(F.regexp_extract_all(rest, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
     return F.concat(head, F.array_join(F.zip_with(F.transform(tokens, one), between, lambda t, b: F.concat(t, b)), ""))
@@ -187,8 +215,8 @@ def surrogate(value: Column, kind: Column, key: str, attempt_of) -> Column:
             .when(kind == "ip", _ip(value, d))
             .when(kind == "phone", _recast(value, d, keep=F.when(value.startswith("+"), F.greatest(code, F.lit(1))).otherwise(0)))
             .when(kind == "card", _card(value, d))
-            .when(kind == "iban", _recast(value, d, keep=F.lit(2)))
-            .when(kind == "name", _name(value, key, attempt))
+            .when(kind == "iban", _iban(value, d))
+            .when(kind.isin("name", "person"), _name(value, kind, key, attempt))
             .otherwise(_recast(value, d))
         )
 
@@ -198,16 +226,15 @@ def surrogate(value: Column, kind: Column, key: str, attempt_of) -> Column:
     return let(canonical(value, kind), numbered)
 
 
-def with_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_found``: the entities of the text in order, repeats included."""
-    t = F.col(text)
+def entities(t: Column) -> Column:
+    """The entities of a text in order, repeats included."""
     none = F.array().cast("array<string>")
-    return docs.withColumn("_found", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(none))
+    return F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def redraws(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 50) -> DataFrame | None:
     """(kind, canon, attempt) of the entities whose first draws collide, or None if none does."""
-    v = with_entities(docs, text).select(F.explode(F.array_distinct("_found")).alias("v")).distinct()
+    v = docs.select(F.explode(F.array_distinct(entities(F.col(f"`{text}`")))).alias("v")).distinct()
     v = v.withColumn("kind", kind_of(F.col("v"))).select("kind", canonical(F.col("v"), F.col("kind")).alias("canon")).distinct()
     known = materialize(v, "entities")
     fixed, open_, out = None, known, None
@@ -226,6 +253,7 @@ def redraws(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 50)
             out = mine if out is None else out.unionByName(mine)
         release(drawn)
         if lost.isEmpty():
+            release(known), release(lost)
             return out
         fixed = won if fixed is None else fixed.unionByName(won)
         open_ = lost
@@ -234,29 +262,30 @@ def redraws(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 50)
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", counts: bool = False) -> DataFrame:
     """docs with surrogates in the text; with counts also ``n_entities``."""
-    names = docs.columns
-    taken = {"_found", "_later", "_row", "_k", "n_entities"} & set(names)
-    assert not taken, f"column names clash: {taken}"
+    if not key:
+        raise ValueError("surrogates need a key")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    n, found, later_map, row, known_as = free_names(docs.columns, "n_entities", "found", "later", "row", "known_as")
+    t = F.col(f"`{text}`")
     later = redraws(docs, key, text)
-    rows = with_entities(docs, text)
+    rows = docs.withColumn(found, entities(t))
     attempt_of = lambda kind, canon: F.lit(0)
     if later is not None:
         # Only documents with an entity that drew again get the map of the later draws; rows are known by a digest.
-        rows = rows.withColumn("_row", F.when(F.size("_found") > 0, F.sha2(F.col(text), 256)))
-        each = rows.filter("_row is not null").select("_row", F.explode(F.array_distinct("_found")).alias("v")).withColumn("kind", kind_of(F.col("v")))
-        each = each.select("_row", "kind", canonical(F.col("v"), F.col("kind")).alias("canon")).join(later, ["kind", "canon"])
-        maps = each.groupBy(F.col("_row").alias("_k")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("_later"))
+        rows = rows.withColumn(row, F.when(F.size(found) > 0, F.sha2(t, 256)))
+        each = rows.filter(F.col(row).isNotNull()).select(F.col(row).alias("row"), F.explode(F.array_distinct(found)).alias("v")).withColumn("kind", kind_of(F.col("v")))
+        each = each.select("row", "kind", canonical(F.col("v"), F.col("kind")).alias("canon")).join(later, ["kind", "canon"])
+        maps = each.groupBy(F.col("row").alias(known_as)).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias(later_map))
         maps = materialize(maps, "later")
-        rows = rows.join(maps, F.col("_row") == F.col("_k"), "left")
-        attempt_of = lambda kind, canon: F.coalesce(F.try_element_at("_later", F.concat_ws("\x1f", kind, canon)), F.lit(0))
-    t = F.col(text)
+        rows = rows.join(maps, F.col(row) == F.col(known_as), "left")
+        attempt_of = lambda kind, canon: F.coalesce(F.try_element_at(later_map, F.concat_ws("\x1f", kind, canon)), F.lit(0))
 
     def swap(v: Column) -> Column:
         return let(kind_of(v), lambda k: surrogate(v, k, key, attempt_of))
 
-    new = F.transform(F.col("_found"), swap)
+    new = F.transform(F.col(found), swap)
     joined = F.array_join(F.zip_with(F.split(t, ENTITY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    rows = rows.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(t))
+    rows = rows.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))
     if counts:
-        return rows.select(*names, F.size("_found").alias("n_entities"))
+        return rows.select(*names, F.size(found).alias(n))
     return rows.select(*names)

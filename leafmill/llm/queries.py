@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -74,15 +75,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir)).withColumnRenamed("rejected", "toxic")
 
 
-#: Key of the surrogates; a deployment sets its own.
-PII_KEY = os.environ.get("LEAFMILL_PII_KEY", "leafmill")
+def pii_key(spark: SparkSession) -> str:
+    """Key of the surrogates, from the environment or the session; without one, the queries run under a key that protects nobody."""
+    key = os.environ.get("LEAFMILL_PII_KEY") or spark.conf.get("spark.leafmill.pii.key", None)
+    if not key:
+        warnings.warn("no key for surrogates is set (LEAFMILL_PII_KEY or spark.leafmill.pii.key): they can be traced back", stacklevel=2)
+        return "demonstration"
+    return key
 
 
 @_query
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its entities."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_entities(docs, PII_KEY, counts=True)
+    return pii.replace_entities(docs, pii_key(spark), counts=True)
 
 
 @_query

@@ -91,3 +91,38 @@ def test_edges(spark):
     assert two[0] == two[1] != "ip 8.8.8.8" and next(r.text for r in got if r.doc_id == 1) is None
     assert "a@b.io" not in next(r.text for r in got if r.doc_id == 2)
     assert P.replace_entities(docs.limit(0), "k").count() == 0
+
+
+def _rest97(iban):
+    s = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_accounts_keep_valid_check_digits(spark):
+    """Against the plain sum: valid accounts get valid ones, others are left as they fall."""
+    texts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "DE00 3704 0044 0532 0130 00"]
+    got = [r.text for r in run(spark, texts)]
+    for t, g in zip(texts, got, strict=True):
+        assert g != t and g[:2] == t[:2] and re.sub("[A-Z0-9]", "x", g) == re.sub("[A-Z0-9]", "x", t)
+        assert _rest97(t) != 1 or _rest97(g) == 1
+    assert _rest97(texts[0]) == 1 and len(set(got)) == 4
+
+
+def test_names_by_letter_case_and_without_titles(spark):
+    got = [r.text for r in run(spark, ["Mr SMITH and Mr. Smith, Mr smith", "We saw Anna Kowalski today. ANNA is here", "John Smith and Anna-Lena Kowalski", "Johnny Smith or Anna goes"])]
+    a, b = re.fullmatch(r"Mr (\S+) and Mr\. (\S+), Mr smith", got[0]).groups()
+    assert a.isupper() and a == b.upper() and b != "Smith"
+    first, last = re.fullmatch(r"We saw (\S+) (\S+) today\. ANNA is here", got[1]).groups()
+    assert first in P.FEMALE_NAMES and last != "Kowalski"
+    assert got[2].split()[0] in P.MALE_NAMES and got[2].split()[1] == b and got[2].endswith("Anna-Lena Kowalski")
+    assert got[3] == "Johnny Smith or Anna goes"
+
+
+def test_clashing_names_and_no_key(spark):
+    docs = spark.createDataFrame([(1, "at a@b.io", 4, "f", "r")], "doc_id long, text string, n_entities int, found string, ROW string")
+    got = P.replace_entities(docs, "k", counts=True)
+    assert got.columns == [*docs.columns, "n_entities_1"]
+    r = got.first()
+    assert (r.n_entities, r.found, r.ROW, r.n_entities_1) == (4, "f", "r", 1) and r.text != "at a@b.io"
+    with __import__("pytest").raises(ValueError):
+        P.replace_entities(docs, "")
