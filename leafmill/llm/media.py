@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
+
+from leafmill.llm.rows import free_names
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples per pixel by the format's colour type; palettes (3) are not 8-bit samples.
@@ -98,12 +101,15 @@ def decode_png(png: bytes) -> np.ndarray:
     if depth != 8 or colour not in SAMPLES or packing or filtering or interlace or not width or not height:
         raise ValueError("only 8-bit images without palette or interlacing")
     per = SAMPLES[colour]
-    try:
-        raw = zlib.decompress(b"".join(body))
+    size, unpacker = height * (width * per + 1), zlib.decompressobj()
+    try:  # never more than the header states: a small file cannot fill the memory
+        raw = unpacker.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise ValueError(f"compressed data: {e}") from e
-    if len(raw) != height * (width * per + 1):
+    if len(raw) != size:
         raise ValueError("the data do not fill the image")
+    if not unpacker.eof or unpacker.unused_data:
+        raise ValueError("compressed data: cut off, or followed by others")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * per + 1)
     return unfilter(lines[:, 0], lines[:, 1:], per).reshape(height, width, per)
 
@@ -197,8 +203,12 @@ def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lev
 
 
 def read_media(table: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """The kept columns, ``samples`` read back from the file, and ``feature`` (the 8-byte hash); null files give nulls."""
-    names = [*keep, "samples", "feature"]
+    """The kept columns, the file, ``samples`` read back from it, and ``feature`` (the 8-byte hash); null files give nulls.
+
+    Of a kept column and an added one of the same name, the added one gets a number behind its name.
+    """
+    keep = tuple(k for k in keep if k.lower() != media.lower())
+    names = [*keep, media, *free_names([*keep, media], "samples", "feature")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,12 +217,12 @@ def read_media(table: DataFrame, media: str = "media", keep: tuple[str, ...] = (
                 image = None if f.as_py() is None else decode_png(f.as_py())
                 data.append(None if image is None else image.tobytes())
                 feature.append(None if image is None else cosine_hash(image))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary()), pa.array(feature, pa.binary())], [*keep, media, "samples", "feature"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary()), pa.array(feature, pa.binary())], names)
 
-    types = dict(table.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keep] + [f"{media} binary", "samples binary", "feature binary"])
-    assert len(names) == len(set(names)), "column names clash"
-    return table.select(*keep, media).mapInArrow(run, schema)
+    schema = StructType([table.schema[k] for k in keep])
+    for n in names[len(keep) :]:
+        schema = schema.add(n, BinaryType())
+    return table.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{media}`")).mapInArrow(run, schema)
 
 
 def digests(table: DataFrame) -> DataFrame:

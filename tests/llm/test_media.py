@@ -84,3 +84,38 @@ def test_tables(spark):
     assert by[5][1:] == by[6][1:] == by[None][1:]
     assert M.digests(M.read_media(M.write_media(docs.limit(0)))).count() == 0
     assert M.read_media(written.selectExpr("doc_id", "n_bytes", "cast(null as binary) media")).filter("samples is null and feature is null").count() == len(rows)
+
+
+def test_a_small_file_cannot_fill_the_memory(monkeypatch):
+    """A file that unpacks to more than its header states is refused after one byte too many."""
+    z = zlib.compress(bytes(50_000_000), 9)
+    head = struct.pack(">IIBBBBB", 64, 1, 8, 2, 0, 0, 0)
+    bomb = M.SIGNATURE + M._chunk(b"IHDR", head) + M._chunk(b"IDAT", z) + M._chunk(b"IEND", b"")
+    seen = []
+    real = zlib.decompressobj
+
+    class Watch:
+        def __init__(self):
+            self.inner = real()
+
+        def decompress(self, data, most):
+            out = self.inner.decompress(data, most)
+            seen.append(len(out))
+            return out
+
+        eof = property(lambda self: self.inner.eof)
+        unused_data = property(lambda self: self.inner.unused_data)
+
+    monkeypatch.setattr(M.zlib, "decompressobj", Watch)
+    with pytest.raises(ValueError):
+        M.decode_png(bomb)
+    assert seen == [194]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abc", 5)], "doc_id long, text string, samples int")
+    files = M.write_media(docs).join(docs.select("doc_id", "samples"), "doc_id")
+    got = M.read_media(files, keep=("doc_id", "n_bytes", "samples", "media"))
+    assert got.columns == ["doc_id", "n_bytes", "samples", "media", "samples_1", "feature"]
+    r = got.first()
+    assert r.samples == 5 and bytes(r.samples_1) == b"abc" + b" " * 189
