@@ -92,6 +92,51 @@ def test_table_likeness(spark):
     assert [r[0] for r in df.select(tabletrees.likeness(F.col("g"), F.col("t"))).collect()] == [1.0, None]
 
 
+def _mappings(a, b, structure_only=False):
+    """Least cost over all pairings of nodes that keep ancestors and left to right, tried one by one."""
+    def related(t):
+        order, first = tabletrees._post_order(t.depths)
+        return order, [[("up" if first[j] <= i < j else "left" if i < first[j] else "down" if first[i] <= j < i else "right") for j in range(len(order))] for i in range(len(order))]
+
+    (oa, ra), (ob, rb) = related(a), related(b)
+    change = tabletrees._changes(a, b, oa, ob, structure_only)
+    best = [float(len(oa) + len(ob))]
+
+    def grow(i, pairs, cost):
+        if i == len(oa):
+            best[0] = min(best[0], cost + (len(oa) - len(pairs)) + (len(ob) - len(pairs)))
+            return
+        grow(i + 1, pairs, cost)
+        for j in range(len(ob)):
+            if all(j != y and ra[i][x] == rb[j][y] for x, y in pairs):
+                grow(i + 1, [*pairs, (i, j)], cost + change[i, j])
+
+    grow(0, [], 0.0)
+    return best[0]
+
+
+def test_tree_distance_against_all_pairings():
+    rng = np.random.default_rng(5)
+
+    def tree():
+        t, depth = tabletrees.Tree(), 0
+        t.add(("table", "1", "1"), 0)
+        for _ in range(rng.integers(0, 5)):
+            depth = int(rng.integers(1, depth + 2))
+            t.add((str(rng.choice(["tr", "td"])), "1", str(rng.integers(1, 3))), depth, str(rng.choice(["a", "ab", "xyz"])))
+        return t
+
+    for _ in range(150):
+        a, b = tree(), tree()
+        for only in (False, True):
+            assert tabletrees.tree_distance(a, b, only) == pytest.approx(_mappings(a, b, only))
+
+
+def test_edit_cost_of_lists():
+    assert sequences.edit_cost([], []) == 0 and sequences.edit_cost(["a"], []) == 1 and sequences.edit_cost([], ["a", "b"]) == 2
+    assert sequences.edit_cost(["aa", "b", "cc"], ["aa", "x", "b", "dd"]) == 2
+
+
 TOML = '[pipeline]\nstages = ["keep", "mark"]\n[stage.keep]\nimpl = "least"\nparams = {least = 2}\n[stage.mark]\nimpl = "with"\n'
 
 
