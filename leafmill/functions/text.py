@@ -91,3 +91,9 @@ def context_repair(token: Column, before: Column, after: Column) -> Column:
     interval = (token == "Cl") & (before.endswith("%") | after.isin("confidence", "interval"))
     roman = token.rlike("^[Il|1]{1,3}$") & before.isin("type", "grade", "stage", "phase", "class")
     return F.when(interval, "CI").when(roman, F.repeat(F.lit("I"), F.length(token))).otherwise(token)
+
+
+def commonest_share(line: Column) -> Column:
+    """Share of a line's characters that its commonest character makes up; null for an empty line."""
+    uses = F.transform(F.array_distinct(F.split(line, "")), lambda c: F.length(line) - F.length(F.replace(line, c, F.lit(""))))
+    return F.try_divide(F.array_max(uses), F.length(line))

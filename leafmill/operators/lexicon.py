@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import ranks
+
 WORD = r"\p{L}+"
 
 
@@ -18,8 +20,7 @@ def lexicon(docs: DataFrame, group: str = "lang", top: int = 30_000) -> DataFram
     """(group, word, n, rank, logf): the most frequent words of each group with their log share; ties by word."""
     counts = words(docs, group).groupBy(group, "word").agg(F.count("*").alias("n"))
     total = counts.groupBy(group).agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("rank", rank).filter(F.col("rank") <= top)
+    best = ranks.top_ranked(counts, [group], [F.desc("n"), F.col("word")], top, ["word"])
     return best.join(total, group).select(group, "word", "n", F.col("rank").cast("long").alias("rank"), F.log(F.col("n") / F.col("total")).alias("logf"))
 
 

@@ -133,21 +133,6 @@ def smallest_container(spark, sf_dir):
     return neighbours.smallest_container(s, "o_custkey", "o_orderkey", "a", "b")
 
 
-@query(
-    "figure_columns",
-    """with c as (select p_brand, unnest([{'c': 'name', 't': p_name}, {'c': 'type', 't': p_type}, {'c': 'size', 't': p_size::varchar}, {'c': 'price', 't': p_retailprice::varchar}]) x from part),
-  g as (select p_brand, x.c col, count(*) n, avg(regexp_matches(x.t, '^[-+$]?[0-9]+([.,:][0-9]+)*%?$')::int) s from c where x.t is not null group by all)
-  select p_brand, col, n::bigint n_cells, round(s, 6) share, n >= 3 and s >= 0.6 is_figures from g""",
-)
-def figure_columns(spark, sf_dir):
-    """Columns of each brand's table that hold figures: three cells and more, six of ten figures."""
-    cell = lambda name, c: F.struct(F.lit(name).alias("c"), F.col(c).cast("string").alias("t"))
-    cells = F.explode(F.array(cell("name", "p_name"), cell("type", "p_type"), cell("size", "p_size"), cell("price", "p_retailprice")))
-    c = _t(spark, sf_dir, "part").select("p_brand", cells.alias("x")).filter("x.t is not null")
-    g = c.groupBy("p_brand", F.col("x.c").alias("col")).agg(_count().alias("n_cells"), F.avg(F.col("x.t").rlike(r"^[-+$]?[0-9]+([.,:][0-9]+)*%?$").cast("int")).alias("s"))
-    return g.select("p_brand", "col", "n_cells", _r("s").alias("share"), ((F.col("n_cells") >= 3) & (F.col("s") >= 0.6)).alias("is_figures"))
-
-
 @query("contamination_guard", "select distinct doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where length(regexp_replace(b.text, '[^ ]', '', 'g')) >= 6")
 def contamination_guard(spark, sf_dir):
     """Documents that hold a whole benchmark text of seven words and more."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import lexicon
+from leafmill.operators import lexicon, rows, vectors
 from leafmill.queries.catalog import query
 from leafmill.queries.standard import _LEX, _WORDS, _count, _ngram_sql, _r, _t
 
@@ -235,93 +235,24 @@ def error_buckets(spark, sf_dir):
 )
 def recost_min(spark, sf_dir):
     """Candidates re-ranked by cost plus half a second opinion's excess; classes it does not know keep their cost."""
-    c = _t(spark, sf_dir, "events").filter("value is not null").groupBy("user_id", "event_type").agg(F.min("value").alias("cost"), F.max("value").alias("top"))
-    nll = F.when(F.col("event_type") != "error", F.col("top") / 10)
-    excess = nll - F.min(nll).over(Window.partitionBy("user_id"))
-    r = c.select("user_id", F.col("event_type").alias("cls"), _r(F.coalesce(F.col("cost") + 0.5 * excess, F.col("cost"))).alias("cost"))
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("cost", "cls")).cast("long"))
+    c = _t(spark, sf_dir, "events").filter("value is not null").groupBy("user_id", F.col("event_type").alias("cls")).agg(F.min("value").alias("cost"), (F.max("value") / 10).alias("nll"))
+    r = vectors.recost(c.select("user_id", "cls", "cost"), c.filter("cls <> 'error'").select("user_id", "cls", "nll"), "user_id", 0.5, 0)
+    w = Window.partitionBy("user_id").orderBy("cost", "cls")
+    return r.withColumn("cost", _r("cost")).withColumn("place", F.row_number().over(w).cast("long"))
 
 
 @query(
-    "band_pairs",
-    """with b as (select distinct epoch(ts)::bigint // 86400 page, user_id u, hour(ts) h from events), n as (select page, u, count(*) n from b group by all),
-  s as (select a.page, a.u, c.u v, count(*) s from b a join b c on a.page = c.page and a.h = c.h and a.u < c.u group by all)
-  select s.page::bigint page, s.u, v, s.s::bigint shared, (s.s >= 3 and s.s * 10 >= 6 * x.n and s.s * 10 >= 6 * y.n) is_group from s join n x on x.page = s.page and x.u = s.u join n y on y.page = s.page and y.u = s.v""",
+    "row_groups",
+    """with b as (select distinct epoch(ts)::bigint // 86400 page, user_id u, hour(ts) h, length(event_type) % 6 words from events),
+  n as (select page, u, count(distinct h) n, median(words) m from b group by all), k as (select * from n where n >= 3 and m <= 4), d as (select distinct page, u, h from b),
+  s as (select a.page, a.u, c.u v, count(*) s from d a join d c on a.page = c.page and a.h = c.h and a.u < c.u group by all)
+  select s.page::bigint page, s.u a, v b, s.s::bigint shared from s join k x on x.page = s.page and x.u = s.u join k y on y.page = s.page and y.u = s.v where s.s >= 3 and s.s * 10 >= 6 * x.n and s.s * 10 >= 6 * y.n""",
 )
-def band_pairs(spark, sf_dir):
-    """Blocks of a page whose baselines agree both ways by six in ten; users are blocks, days pages, hours baselines."""
+def row_groups(spark, sf_dir):
+    """Blocks of a page whose baselines agree both ways by six in ten; users are blocks, days pages, hours baselines, kinds of events words."""
     at = F.col("ts").cast("timestamp")
-    b = _t(spark, sf_dir, "events").select(F.floor(F.unix_seconds(at) / 86400).alias("page"), F.col("user_id").alias("u"), F.hour(at).alias("h")).distinct()
-    n = b.groupBy("page", "u").agg(_count().alias("n"))
-    s = b.join(b.select("page", "h", F.col("u").alias("v")), ["page", "h"]).filter("u < v").groupBy("page", "u", "v").agg(_count().alias("shared"))
-    j = s.join(n.withColumnRenamed("n", "nu"), ["page", "u"]).join(n.select("page", F.col("u").alias("v"), F.col("n").alias("nv")), ["page", "v"])
-    ok = (F.col("shared") >= 3) & (F.col("shared") * 10 >= 6 * F.col("nu")) & (F.col("shared") * 10 >= 6 * F.col("nv"))
-    return j.select("page", "u", "v", "shared", ok.alias("is_group"))
-
-
-_RUNS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-
-
-@query(
-    "crossfoot_check",
-    f"""with o as (select o_custkey k, month(o_orderdate) % 4 q, floor(o_totalprice)::bigint v from orders), c as (select k, sum(v) filter (where q = 0) c0, sum(v) filter (where q = 1) c1, sum(v) filter (where q = 2) c2, sum(v) filter (where q = 3) c3 from o group by k),
-  t as (select c_nationkey nation, k, coalesce(c0, 0) c0, coalesce(c1, 0) c1, coalesce(c2, 0) c2, coalesce(c3, 0) c3 from c join customer on c_custkey = k), x as (select *, c1 + c2 + case when k % 5 = 0 then 1 else 0 end total from t),
-  r as (select nation, unnest([{", ".join(f"{{'a': {a}, 'b': {b}, 'ok': {' + '.join(f'c{i}' for i in range(a, b + 1))} = total}}" for a, b in _RUNS)}]) r from x),
-  g as (select nation, r.a a, r.b b, count(*) n, count(*) filter (where r.ok) n_ok from r group by all)
-  select nation::bigint nation, a::bigint first_col, b::bigint last_col, n::bigint n_rows, n_ok::bigint n_ok from g qualify row_number() over (partition by nation order by n_ok desc, a, b) = 1""",
-)
-def crossfoot_check(spark, sf_dir):
-    """Run of columns whose sum meets the total column in most rows; nations are tables, customers rows."""
-    q, v = F.month("o_orderdate") % 4, F.floor("o_totalprice")
-    sums = [F.sum(F.when(q == i, v).otherwise(0)).alias(f"c{i}") for i in range(4)]
-    c = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*sums).join(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation")), "c_custkey")
-    total = F.col("c1") + F.col("c2") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)
-    runs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (sum((F.col(f"c{i}") for i in range(a, b + 1)), F.lit(0)) == total).alias("ok")) for a, b in _RUNS))
-    g = c.select("nation", F.explode(runs).alias("r")).groupBy("nation", "r.a", "r.b").agg(_count().alias("n"), F.count(F.when(F.col("r.ok"), 1)).alias("n_ok"))
-    best = g.groupBy("nation").agg(F.min(F.struct((-F.col("n_ok")).alias("m"), "a", "b", "n")).alias("x"))
-    return best.select("nation", F.col("x.a").cast("long").alias("first_col"), F.col("x.b").cast("long").alias("last_col"), F.col("x.n").alias("n_rows"), (-F.col("x.m")).alias("n_ok"))
-
-
-@query(
-    "header_rows",
-    """with c as (select l_orderkey k, l_linenumber i, case when l_linenumber <= l_orderkey % 5 then 'Amount' else l_partkey::varchar end t from lineitem), f as (select k, min(i) filter (where regexp_matches(t, '^[0-9]+$')) - 1 h, count(*) n from c group by k)
-  select k, n::bigint n_rows, case when h between 1 and 3 then h else 0 end::bigint n_header from f""",
-)
-def header_rows(spark, sf_dir):
-    """Rows above a table's first row of figures, if they are one to three; orders are tables."""
-    t = F.when(F.col("l_linenumber") <= F.col("l_orderkey") % 5, "Amount").otherwise(F.col("l_partkey").cast("string"))
-    f = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(_count().alias("n_rows"), (F.min(F.when(T.is_figure(t), F.col("l_linenumber"))) - 1).alias("h"))
-    return f.select("k", "n_rows", F.when(F.col("h").between(1, 3), F.col("h")).otherwise(0).cast("long").alias("n_header"))
-
-
-@query(
-    "paren_columns",
-    """with c as (select l_orderkey k, case when l_partkey % 7 = 0 then 'none' else l_partkey::varchar end a, case when l_partkey % 7 = 0 and l_orderkey % 3 > 0 then '' when l_suppkey % 5 = 0 then '' when l_orderkey % 11 = 0 then 'n/a' else '(' || l_suppkey || ')' end b from lineitem),
-  f as (select k, count(*) n, count(*) filter (where regexp_matches(a, '[0-9]$')) fig, count(*) filter (where b <> '') filled, count(*) filter (where regexp_matches(b, '^[(][0-9.,]+[)]$') and regexp_matches(a, '[0-9]$')) fit from c group by k)
-  select k, n::bigint n_rows, fit::bigint n_fit, (filled > 0 and filled = fit and fit * 10 >= fig * 6) joins from f""",
-)
-def paren_columns(spark, sf_dir):
-    """Whether a table's second column only holds bracketed figures beside figures, and joins the first."""
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    a = F.when(part % 7 == 0, "none").otherwise(part.cast("string"))
-    b = F.when((part % 7 == 0) & (F.col("l_orderkey") % 3 > 0), "").when(supp % 5 == 0, "").when(F.col("l_orderkey") % 11 == 0, "n/a").otherwise(F.concat(F.lit("("), supp.cast("string"), F.lit(")")))
-    c = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), a.alias("a"), b.alias("b"))
-    fig = F.col("a").rlike("[0-9]$")
-    n = lambda cond: F.count(F.when(cond, 1))
-    f = c.groupBy("k").agg(_count().alias("n_rows"), n(fig).alias("fig"), n(F.col("b") != "").alias("filled"), n(F.col("b").rlike("^[(][0-9.,]+[)]$") & fig).alias("n_fit"))
-    return f.select("k", "n_rows", "n_fit", ((F.col("filled") > 0) & (F.col("filled") == F.col("n_fit")) & (F.col("n_fit") * 10 >= F.col("fig") * 6)).alias("joins"))
-
-
-@query(
-    "otsl_encode",
-    """with c as (select l_orderkey k, l_linenumber i, min(l_returnflag) f, min(l_linestatus) s, max(l_discount) d from lineitem group by all)
-  select k, string_agg(case when f = 'N' then 'ecel' else 'fcel' end || ' ' || case when d > 0.05 then 'lcel' when s = 'O' then 'ecel' else 'fcel' end || ' nl', ' ' order by i) tokens from c group by k""",
-)
-def otsl_encode(spark, sf_dir):
-    """Structure tokens of each order as a table of two columns: filled, empty, joined to the left, end of row."""
-    c = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.max("l_discount").alias("d"))
-    row = F.concat(F.when(F.col("f") == "N", "ecel").otherwise("fcel"), F.when(F.col("d") > 0.05, " lcel").when(F.col("s") == "O", " ecel").otherwise(" fcel"), F.lit(" nl"))
-    return c.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("t")))), lambda x: x["t"]), " ").alias("tokens"))  # an order's lines
+    lines = _t(spark, sf_dir, "events").select(F.floor(F.unix_seconds(at) / 86400).alias("page"), F.col("user_id").alias("block"), F.hour(at).cast("double").alias("baseline"), (F.length("event_type") % 6).alias("n_words"))
+    return rows.row_read_pairs(lines.distinct(), tol=0.4)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import islands, lexicon, vectors
+from leafmill.operators import evidence, islands, lexicon, ranks, rows, vectors
 from leafmill.queries.catalog import query
 
 #: Date and time columns carry no zone; seconds since 1970 on both engines.
@@ -209,9 +209,9 @@ def sentence_initial_case(spark, sf_dir):
 )
 def repeat_char_flood(spark, sf_dir):
     """Lines of which one character makes up three tenths and more."""
-    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.length("line") >= 4)
-    c = lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.explode(F.split("line", "")).alias("ch")).groupBy("doc_id", "line", "ch").agg(_count().alias("n"))
-    return c.groupBy("doc_id", "line").agg((F.max("n") / F.sum("n")).alias("s"), F.sum("n").alias("n_chars")).filter("s >= 0.3").select("doc_id", "line", _r("s").alias("top_share"), "n_chars")
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).filter(F.length("t") >= 4)
+    f = lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), T.commonest_share(F.col("t")).alias("s"), F.length("t").cast("long").alias("n_chars"))
+    return f.filter("s >= 0.3").select("doc_id", "line", _r("s").alias("top_share"), "n_chars")
 
 
 @query(
@@ -229,30 +229,6 @@ def missing_tokens(spark, sf_dir):
     return j.groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.col("k"), F.lit(0))).alias("n_missing"), F.sum(F.least("n", "k")).alias("n_common"), F.sum(F.greatest(F.col("k") - F.col("n"), F.lit(0))).alias("n_surplus"))
 
 
-@query(
-    "edit_accuracy",
-    """with t as (select conv_id, turn, regexp_replace(left(text, 60), '[^ -~]', '', 'g') a, regexp_replace(left(lead(text) over (partition by conv_id order by turn), 60), '[^ -~]', '', 'g') b from conversations),
-  e as (select conv_id, levenshtein(a, b) d, length(b) n from t where length(b) > 0)
-  select conv_id, round(avg(1 - d * 1.0e0 / n), 6) mean_acc, round(1 - sum(d) * 1.0e0 / sum(n), 6) pooled_acc, count(*)::bigint n from e group by all""",
-)
-def edit_accuracy(spark, sf_dir):
-    """Character accuracy of each turn against the next, mean and pooled by conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    cut = lambda c: F.regexp_replace(F.left(c, F.lit(60)), "[^ -~]", "")
-    t = _t(spark, sf_dir, "conversations").select("conv_id", cut(F.col("text")).alias("a"), cut(F.lead("text").over(w)).alias("b")).filter(F.length("b") > 0)
-    e = t.select("conv_id", F.levenshtein("a", "b").alias("d"), F.length("b").alias("n"))
-    return e.groupBy("conv_id").agg(_r(F.avg(1 - F.col("d") / F.col("n"))).alias("mean_acc"), _r(1 - F.sum("d") / F.sum("n")).alias("pooled_acc"), _count().alias("n"))
-
-
-@query("edit_accuracy_whole")
-def edit_accuracy_whole(spark, sf_dir):
-    """Character accuracy of each whole turn against the next in code points, mean and pooled by conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = _t(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).filter(F.length("b") > 0)
-    e = t.select("conv_id", F.levenshtein("a", "b").alias("d"), F.length("b").alias("n")).filter("d is not null")
-    return e.groupBy("conv_id").agg(_r(F.avg(1 - F.col("d") / F.col("n"))).alias("mean_acc"), _r(1 - F.sum("d") / F.sum("n")).alias("pooled_acc"), _count().alias("n"))
-
-
 @query(
     "seeded_draw",
     "select lang, doc_id, r::bigint rank from (select lang, doc_id, row_number() over (partition by lang order by md5('7-' || doc_id), doc_id) r from documents) where r <= 20",
@@ -288,10 +264,7 @@ def coverage_curve(spark, sf_dir):
 def rank_auc(spark, sf_dir):
     """Rank-sum AUC of length for quality, with mean ranks for ties."""
     s = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    k = F.rank().over(Window.partitionBy("lang").orderBy("n_chars")) + (F.count("*").over(Window.partitionBy("lang", "n_chars")) - 1) / 2
-    q = F.sum("quality")
-    auc = (F.sum(F.when(F.col("quality") == 1, F.col("k"))) - q * (q + 1) / 2) / F.nullif(q * (_count() - q), F.lit(0))
-    return s.withColumn("k", k).groupBy("lang").agg(_r(auc).alias("auc"), _count().alias("n"))
+    return ranks.rank_auc(s, ["lang"], "n_chars", "quality").select("lang", _r("auc").alias("auc"), "n")
 
 
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))))"
@@ -330,7 +303,7 @@ def class_geometry(spark, sf_dir):
 )
 def vote_label(spark, sf_dir):
     """Weighted majority over each class's nearest prototype, null below the purity."""
-    near = vectors.nearest_classes(*_split(spark, sf_dir), k=1_000_000, q=1).select("query", "label", (1 / (1 + F.col("dist"))).alias("w"))
+    near = vectors.nearest_classes(*_split(spark, sf_dir), k=None, q=1).select("query", "label", (1 / (1 + F.col("dist"))).alias("w"))
     return vectors.vote(near, ["query"], "label", "w", 0.11).withColumn("share", _r("share"))
 
 
@@ -341,7 +314,7 @@ def vote_label(spark, sf_dir):
   select query, label, round(ln(greatest(e / sum(e) over (partition by query), 1e-9)), 6) logp from e""",
 )
 def softmax_candidates(spark, sf_dir):
-    near = vectors.nearest_classes(*_split(spark, sf_dir), k=1_000_000, q=1)
+    near = vectors.nearest_classes(*_split(spark, sf_dir), k=None, q=1)
     return vectors.softmax_candidates(near, "query", "dist").select("query", "label", _r("logp").alias("logp"))
 
 
@@ -405,36 +378,6 @@ def lookalike_repair(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", t.alias("read_as"), T.lookalike_repair(t).alias("repaired"))
 
 
-@query(
-    "product_check",
-    """with t as (select l_orderkey k, l_linenumber r, l_quantity a, p_retailprice b, round(l_quantity * p_retailprice, 2) + case when l_linenumber = 4 then 100 else 0 end c from lineitem join part on p_partkey = l_partkey)
-  select k, count(*)::bigint n_rows, count(*) filter (where abs(a * b - c) <= 0.011 * greatest(abs(c), 1))::bigint n_ok,
-  (count(*) filter (where abs(a * b - c) <= 0.011 * greatest(abs(c), 1)) >= 3 and count(*) filter (where abs(a * b - c) <= 0.011 * greatest(abs(c), 1)) >= 0.75 * count(*)) kept from t group by all""",
-)
-def product_check(spark, sf_dir):
-    """Orders as tables of quantity, price and amount: kept where three rows and three quarters hold."""
-    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("b"))
-    c = _r(F.col("l_quantity") * F.col("b"), 2) + F.when(F.col("l_linenumber") == 4, 100).otherwise(0)
-    t = _t(spark, sf_dir, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("a"), "b", c.alias("c"))
-    ok = F.count(F.when(F.abs(F.col("a") * F.col("b") - F.col("c")) <= 0.011 * F.greatest(F.abs("c"), F.lit(1)), 1))
-    return t.groupBy("k").agg(_count().alias("n_rows"), ok.alias("n_ok"), ((ok >= 3) & (ok >= 0.75 * _count())).alias("kept"))
-
-
-@query(
-    "segment_sum_check",
-    """with o as (select o_custkey k, o_orderkey, o_totalprice v, row_number() over (partition by o_custkey order by o_orderkey) i from orders),
-  s as (select k, (i - 1) // 4 seg, sum(v) t, count(*) n from o group by all) select k custkey, seg::bigint seg, round(t, 2) total, n::bigint n,
-  (abs(t - (round(t, 2) + case when seg % 5 = 2 then 7000 else 0 end)) <= 0.011 * abs(t)) ok from s""",
-)
-def segment_sum_check(spark, sf_dir):
-    """Running segments of four orders against stated totals, one in five of them wrong."""
-    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    s = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("v"), F.floor((i - 1) / 4).alias("seg"))
-    g = s.groupBy("custkey", "seg").agg(F.sum("v").alias("t"), _count().alias("n"))
-    stated = _r("t", 2) + F.when(F.col("seg") % 5 == 2, 7000).otherwise(0)
-    return g.select("custkey", "seg", _r("t", 2).alias("total"), "n", (F.abs(F.col("t") - stated) <= 0.011 * F.abs("t")).alias("ok"))
-
-
 @query(
     "otsu_threshold",
     """with h as (select floor(l_quantity)::bigint b, count(*) n from lineitem group by all), c as (select b, sum(n) over (order by b) w0, sum(b * n) over (order by b) s0, sum(n) over () w, sum(b * n) over () s from h)
@@ -458,10 +401,7 @@ def otsu_threshold(spark, sf_dir):
 def mad_reject(spark, sf_dir):
     """Events above their type's median by three median absolute deviations."""
     e = _t(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    m = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("med"))
-    d = e.join(m, "event_type").groupBy("event_type").agg(F.first("med").alias("med"), F.percentile(F.abs(F.col("value") - F.col("med")), 0.5).alias("mad"))
-    at = F.col("med") + 3 * F.when(F.col("mad") > 0, F.col("mad")).otherwise(0.2 * F.col("med"))
-    return e.join(d, "event_type").filter(F.col("value") > at).select("event_id", "event_type", _r(at).alias("limit_at"))
+    return evidence.reject_above(e, ["event_type"], "value", 3.0, 0.2).select("event_id", "event_type", _r("limit_at").alias("limit_at"))
 
 
 @query(
@@ -471,10 +411,9 @@ def mad_reject(spark, sf_dir):
 )
 def ctc_collapse(spark, sf_dir):
     """Each user's events as frames: repeats collapsed, the blank ('error') dropped."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    f = _t(spark, sf_dir, "events").withColumn("p", F.lag("event_type").over(w)).filter("event_type <> 'error' and (p is null or p <> event_type)")
-    one = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.left("event_type", F.lit(1)).alias("c"))))
-    return f.groupBy("user_id").agg(F.array_join(F.transform(one, lambda x: x["c"]), "").alias("decoded"))
+    e = _t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("frame"), "event_type")
+    best = evidence.greedy_labels(e, "user_id", "frame", "event_type", "error")
+    return best.select("user_id", F.array_join(F.transform("labels", lambda x: F.left(x, F.lit(1))), "").alias("decoded")).filter("decoded <> ''")
 
 
 @query(
@@ -547,11 +486,8 @@ def html_text(spark, sf_dir):
 )
 def baseline_rows(spark, sf_dir):
     """Events as words on baselines of an hour: rows by gap, joined in order with two blanks."""
-    w = Window.partitionBy("user_id").orderBy("b", "event_id")
     e = _t(spark, sf_dir, "events").select("user_id", F.floor(_seconds("ts") / 3600).alias("b"), "event_id", "event_type")
-    h = e.withColumn("g", F.when(F.col("b") - F.lag("b").over(w) > 1, 1).otherwise(0)).withColumn("row_no", F.sum("g").over(w))
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "event_id", "event_type"))), lambda x: x["event_type"]), "  ")
-    return h.groupBy("user_id", "row_no").agg(line.alias("line"), _count().alias("n"))
+    return rows.rows_text(e, ["user_id"], "b", ["b", "event_id"], "event_type", 1)
 
 
 @query(

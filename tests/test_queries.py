@@ -2,7 +2,8 @@ import os
 
 import pytest
 
-from leafmill.queries import catalog, layout, paged, repair, standard  # noqa: F401
+import __spark_entry__  # noqa: F401
+from leafmill.queries import catalog
 from tests.compare import difference, views
 
 DATA = "/root/testdata/sf0.001"

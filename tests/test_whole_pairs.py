@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import pytest
 
-from leafmill.queries import catalog, paged, standard  # noqa: F401
+import __spark_entry__  # noqa: F401
+from leafmill.queries import catalog
 
 
 def distance(a, b):
@@ -33,7 +34,7 @@ def turns(spark, tmp_path_factory):
 
 def test_steps_of_whole_turns(spark, turns):
     at, pairs = turns
-    got = {(r.conv_id, r.turn, r.cost) for r in catalog.QUERIES["edit_steps_whole"](spark, at).collect()}
+    got = {(r.conv_id, r.turn, r.cost) for r in catalog.QUERIES["edit_steps"](spark, at).collect()}
     assert got == {(c, t, distance(a, b)) for c, t, a, b in pairs}
 
 
@@ -44,5 +45,5 @@ def test_accuracy_of_whole_turns(spark, turns):
         if b:
             by[c].append((distance(a, b), len(b)))
     want = {c: (sum(1 - d / n for d, n in v) / len(v), 1 - sum(d for d, _ in v) / sum(n for _, n in v), len(v)) for c, v in by.items()}
-    got = {r.conv_id: (r.mean_acc, r.pooled_acc, r.n) for r in catalog.QUERIES["edit_accuracy_whole"](spark, at).collect()}
+    got = {r.conv_id: (r.mean_acc, r.pooled_acc, r.n) for r in catalog.QUERIES["edit_accuracy"](spark, at).collect()}
     assert set(got) == set(want) and all(got[c] == pytest.approx(want[c], abs=2e-6) for c in want)
