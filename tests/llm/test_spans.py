@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import xxhash
+
 from leafmill.llm import spans as S
 from leafmill.llm.rows import row_hash
 
@@ -7,26 +10,75 @@ from leafmill.llm.rows import row_hash
 def test_sentences_cover_the_text():
     r = random.Random(1)
     for _ in range(300):
-        t = "".join(r.choice("ab .!?\n\"…") for _ in range(r.randint(0, 60)))
-        cut = S.sentences(t)
-        assert "".join(t[a:b] for a, b in cut) == t
-    assert [t for t in ("A b. C d!\nE")] and [("A b. C d!\nE"[a:b]) for a, b in S.sentences("A b. C d!\nE")] == ["A b. ", "C d!\n", "E"]
-    assert S.spans(None) == S.spans("") == S.spans("One.") == []
+        t = "".join(r.choice("ab .!?\n\"…é") for _ in range(r.randint(0, 60)))
+        assert "".join(S.sentences(t)) == (t if t.split() else "")
+    assert S.sentences("A b. C d!\nE") == ["A b. ", "C d!\n", "E"]
+    assert S.sentences(" (He said: “No…” ) Yes.No") == [" (He said: “No…” ", ") Yes.No"]
+    assert S.sentences(None) == S.sentences(" \n ") == []
+    assert len(S.spans(None)) == len(S.spans("")) == len(S.spans("One.")) == 0
+
+
+def words_of(t):
+    return (t or "").encode().lower().split()
+
+
+def plain_sentences(t):
+    """Sentences as lists of words, one word and one pair at a time."""
+    import re
+
+    words = words_of(t)
+    ends = {len(words_of(t[: m.end()])) for m in re.finditer("[.!?…]+[\"'”’»)\\]]*[ \t-\r]+|[ \t-\r]*\n[ \t-\r]*", t or "")}
+    bounds = sorted(({0, len(words)} | ends) & set(range(len(words) + 1)))
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        cuts = [a]
+        if b - a > S.LONG:
+            pair = [int(S._mixed(np.array([xxhash.xxh64_intdigest(x) * S.BASES[0] + xxhash.xxh64_intdigest(y) & 2**64 - 1], np.uint64), 1)[0]) for x, y in zip(words[a:b], words[a + 1 : b], strict=False)]
+            for i in range(S.APART, len(pair) - S.APART):
+                if all(pair[i] < x for x in pair[i - S.APART : i]) and all(pair[i] <= x for x in pair[i + 1 : i + S.APART + 1]):
+                    cuts.append(a + i + 1)
+        out += [words[x:y] for x, y in zip(cuts, [*cuts[1:], b], strict=True)]
+    return out
+
+
+def plain_runs(t, several=2, least=12):
+    """(first sentence, sentences, words) of each run."""
+    cut, out = plain_sentences(t), []
+    for i in range(len(cut) - several + 1):
+        j = i + several
+        while sum(map(len, cut[i:j])) < least and j < len(cut):
+            j += 1
+        if sum(map(len, cut[i:j])) >= least:
+            out.append((i, j - i, b" ".join(sum(cut[i:j], []))))
+    return out
+
+
+def test_arrays_against_plain_words():
+    """Cuts and runs of random texts, and that runs hash alike exactly where their words are the same."""
+    r = random.Random(5)
+    seen = {}
+    for _ in range(250):
+        t = "".join(r.choice(["a", "B", "cd", "É", "x" * 80]) + r.choice([" ", " ", " ", "\t", ". ", "? ", "\n", "!” ", "… ", "\xa0"]) for _ in range(r.randint(0, 120)))
+        assert [words_of(u) for u in S.sentences(t)] == plain_sentences(t)
+        got = S.spans(t).tolist()
+        want = plain_runs(t)
+        assert [(i, n) for i, n, *_ in got] == [(i, n) for i, n, _ in want]
+        for (_, _, hi, lo), (_, _, words) in zip(got, want, strict=True):
+            assert seen.setdefault(words, (hi, lo)) == (hi, lo)
+    assert len(set(seen.values())) == len({lo for _, lo in seen.values()}) == len(seen) > 500
 
 
 def brute(rows):
     """(row, doc_id, hash of the row, text) -> row: kept text, by comparing every run with every other."""
-    runs = []
-    for k, i, tie, t in rows:
-        plain = [" ".join(t[a:b].lower().split()) for a, b in S.sentences(t)] if t else []
-        for at, n, *_ in S.spans(t):
-            runs.append(("\n".join(plain[at : at + n]), (i is None, i or 0, tie, k, at), n))
+    runs = [(words, (i is None, i or 0, tie, k, at), n) for k, i, tie, t in rows for at, n, words in plain_runs(t)]
+    least = {}
+    for words, where, _ in runs:
+        least[words] = min(least.get(words, where), where)
     drop = {}
-    for run, where, n in runs:
-        first = min(x[1] for x in runs if x[0] == run)
-        if first != where:
+    for words, where, n in runs:
+        if least[words] != where:
             drop.setdefault(where[3], set()).update(range(where[4], where[4] + n))
-    return {k: t and "".join(t[a:b] for j, (a, b) in enumerate(S.sentences(t)) if j not in drop.get(k, ())) for k, _, _, t in rows}
+    return {k: t and "".join(u for j, u in enumerate(S.sentences(t)) if j not in drop[k]) if k in drop else t for k, _, _, t in rows}
 
 
 def hashed(docs):
