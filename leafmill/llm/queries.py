@@ -107,6 +107,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the sentences gone that a non-first repeated span covers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long: fewer rows go to Python at a time
     found = spans.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_sentences", "n_removed")
 
