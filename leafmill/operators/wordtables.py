@@ -83,16 +83,17 @@ def aligned_phrases(rows: DataFrame, gap: float = 0.8, wide: float = 1.4, near:
     """Phrases after those that hold two cells are split, and those that are one cell are joined.
 
     A phrase is split before a word that stands behind ``wide`` median spaces and whose left edge lines up, within half a word height,
-    with one on another row that begins a phrase or stands so too.  A phrase less than ``near`` spaces behind the one before it joins
+    with one on another row that begins a phrase or stands so too; never between a sign and its amount.  A phrase less than ``near`` spaces behind the one before it joins
     that if it lines up with nothing and neither holds a digit.  Pages of fewer than four spaces inside phrases stay as they are.
     """
     w = Window.partitionBy("page", "row").orderBy("x0", "word")
     inside = Window.partitionBy("page", "row", "phrase").orderBy("x0", "word")
     words = in_phrases(rows, gap).withColumn("space", F.col("x0") - F.lag("x1").over(inside))
+    words = words.withColumn("amount", F.coalesce(F.lag("text").over(inside).isin(*SIGNS) & F.col("text").rlike(AMOUNT), F.lit(False)))
     page = words.groupBy("page").agg(
         F.percentile(F.when(F.col("space") > 0, F.col("space")), 0.5).alias("usual"), F.count(F.when(F.col("space") > 0, 1)).alias("n"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("h")
     )
-    words = words.join(page, "page").withColumn("starts", F.col("space").isNull()).withColumn("cand", (F.col("n") >= 4) & (F.col("space") >= wide * F.col("usual")))
+    words = words.join(page, "page").withColumn("starts", F.col("space").isNull()).withColumn("cand", (F.col("n") >= 4) & (F.col("space") >= wide * F.col("usual")) & ~F.col("amount"))
     edge = words.filter("starts or cand").select("page", F.col("row").alias("other"), F.col("x0").alias("x"), "h")
     # Edges meet in cells of half a height and the next ones.
     cell = lambda c: F.floor(F.col(c) / (F.col("h") / 2))

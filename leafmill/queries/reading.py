@@ -41,14 +41,14 @@ def x_heights(spark, sf_dir):
 
 @query(
     "lattice_paths",
-    f"""with {LINES}, l as (select * from li where r <= 6), s as (select k, r - 1 a, r b, (q % 7) * 1.0e0 d from l union all select k, r - 2, r, (p % 11) * 1.0e0 from l where r > 1), m as (select k, median(d) m, max(b) n from s group by k),
+    f"""with {LINES}, l as (select k * 1000 + (r - 1) // 6 k, (r - 1) % 6 + 1 r, q, p from li), s as (select k, r - 1 a, r b, (q % 7) * 1.0e0 d from l union all select k, r - 2, r, (p % 11) * 1.0e0 from l where r > 1), m as (select k, median(d) m, max(b) n from s group by k),
   t as (select s.k, a, b, d - m w, n from s join m on m.k = s.k where b - a < n or n = 1),
   c as (with recursive z as (select k, b, w c, a || '-' || b path, n from t where a = 0 union all select t.k, t.b, z.c + t.w, z.path || ' ' || t.a || '-' || t.b, z.n from z join t on t.k = z.k and t.a = z.b) select * from z)
   select k page, round(min(c), 6) cost, count(*)::bigint n_paths from c where b = n group by k""",
 )
 def lattice_paths(spark, sf_dir):
-    """Cheapest way through up to six cut pieces, and how many ways there are."""
-    l = lines(spark, sf_dir).filter("r <= 6")
+    """Cheapest way through up to six cut pieces, and how many ways there are; longer orders are several words."""
+    l = lines(spark, sf_dir).withColumn("table", F.col("table") * 1000 + F.floor((F.col("r") - 1) / 6)).withColumn("r", (F.col("r") - 1) % 6 + 1)
     one = l.select(F.col("table").alias("page"), (F.col("r") - 1).alias("first"), F.col("r").alias("stop"), (F.col("q") % 7).cast("double").alias("dist"))
     two = l.filter("r > 1").select(F.col("table").alias("page"), (F.col("r") - 2).alias("first"), F.col("r").alias("stop"), (F.col("p") % 11).cast("double").alias("dist"))
     found = decoding.lattice_paths(one.unionByName(two), k=1000)
@@ -57,16 +57,17 @@ def lattice_paths(spark, sf_dir):
 
 @query(
     "height_prior",
-    """with g as (select doc_id, unnest(range(1, 21)) i, text from documents where length(text) >= 20), c as (select doc_id, i, substr(text, i, 1) ch, 0.5e0 + (doc_id * 7 + i) % 20 / 10.0e0 h, (doc_id + i) % 5 / 10.0e0 b from g)
-  select doc_id, i::bigint place, round(case when regexp_matches(ch, '^[A-Z0-9bdfhkltgjpqy]$') then -greatest(abs(h - 1.45e0) - 1 / 3.0e0, 0) when regexp_matches(ch, '^[acemnorsuvwxz]$') then -greatest(abs(h - 1) - 1 / 3.0e0, 0) else 0 end, 6) + 0 height,
-  case when regexp_matches(ch, '^[gjpqy]$') then case when b > 0.2 then 0.0 else -1.0 end when b > 0.2 and regexp_matches(ch, '^[A-Za-z0-9]$') then -1.0 else 0.0 end::double descender from c""",
+    """with c as (select doc_id, i, substr(text, i, 1) ch, 0.5e0 + (doc_id * 7 + i) % 20 / 10.0e0 h, (doc_id + i) % 5 / 10.0e0 b from (select doc_id, text, unnest(range(1, length(text) + 1)) i from documents))
+  select doc_id, round(sum(case when regexp_matches(ch, '^[A-Z0-9bdfhkltgjpqy]$') then -greatest(abs(h - 1.45e0) - 1 / 3.0e0, 0) when regexp_matches(ch, '^[acemnorsuvwxz]$') then -greatest(abs(h - 1) - 1 / 3.0e0, 0) else 0 end), 3) + 0 height,
+  sum(case when regexp_matches(ch, '^[gjpqy]$') then case when b > 0.2 then 0.0 else -1.0 end when b > 0.2 and regexp_matches(ch, '^[A-Za-z0-9]$') then -1.0 else 0.0 end)::double descender from c group by doc_id""",
 )
 def height_prior(spark, sf_dir):
-    """Priors of made glyph heights for the first twenty characters of each document."""
-    d = _t(spark, sf_dir, "documents").filter(F.length("text") >= 20).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"), "text")
-    c = d.select("doc_id", F.col("i").cast("long").alias("place"), F.substr("text", F.col("i"), F.lit(1)).alias("ch"), (0.5 + (F.col("doc_id") * 7 + F.col("i")) % 20 / 10.0).alias("h"), ((F.col("doc_id") + F.col("i")) % 5 / 10.0).alias("b"))
+    """Priors of made glyph heights, summed over each document's characters."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("at", "ch")).withColumn("i", F.col("at") + 1)
+    c = d.select("doc_id", "ch", (0.5 + (F.col("doc_id") * 7 + F.col("i")) % 20 / 10.0).alias("h"), ((F.col("doc_id") + F.col("i")) % 5 / 10.0).alias("b"))
     one = F.lit(1.0)
-    return c.select("doc_id", "place", (_r(decoding.height_prior(F.col("ch"), F.col("h"), one)) + 0.0).alias("height"), decoding.descender_prior(F.col("ch"), F.col("b"), one).alias("descender"))
+    p = c.select("doc_id", decoding.height_prior(F.col("ch"), F.col("h"), one).alias("p"), decoding.descender_prior(F.col("ch"), F.col("b"), one).alias("q"))
+    return p.groupBy("doc_id").agg((_r(F.sum("p"), 3) + 0.0).alias("height"), F.sum("q").alias("descender"))
 
 
 @query("kerned_digits", f"with {LINES} select k page, string_agg(q % 10, '' order by r) as text, min(1.0e0 / r) conf from li group by k")
@@ -140,14 +141,14 @@ def word_accuracy(spark, sf_dir):
 
 @query(
     "line_matches",
-    f"""with t as (select conv_id, turn, {BYTEWISE} t from conversations where length(text) <= 400), g as (select conv_id, turn, replace(t, 'e', 'c') g from t where length(t) >= 4),
+    f"""with t as (select conv_id, turn, {BYTEWISE} t from conversations), g as (select conv_id, turn, replace(t, 'e', 'c') g from t where length(t) >= 4),
   m as (select g.conv_id, g.turn a, t.turn b, levenshtein(g, t) d, greatest(length(g), length(t)) n from g join t on g.conv_id = t.conv_id where length(t) > 0 and length(g) * 1.0e0 / length(t) > 0.6 and length(g) * 1.0e0 / length(t) < 1.6),
   c as (select *, d * 1.0e0 / n s from m where d <= 0.35 * n qualify row_number() over (partition by conv_id, a order by d * 1.0e0 / n, b) = 1)
   select conv_id, a::bigint as line_no, b::bigint truth_line, d::bigint cost from c qualify row_number() over (partition by conv_id, b order by s, a) = 1""",
 )
 def line_matches(spark, sf_dir):
-    """Misread short turns matched with the turns of their conversation; a turn keeps its best claimant."""
-    t = _t(spark, sf_dir, "conversations").filter(F.length("text") <= 400).select(F.col("conv_id"), F.col("turn").cast("long").alias("line"), "text")
+    """Misread turns matched with the turns of their conversation; a turn keeps its best claimant."""
+    t = _t(spark, sf_dir, "conversations").select(F.col("conv_id"), F.col("turn").cast("long").alias("line"), "text")
     got = t.withColumn("text", F.replace("text", F.lit("e"), F.lit("c")))
     return accuracy.best_claimants(got, t, "conv_id").select("conv_id", F.col("line").alias("line_no"), "truth_line", "cost")
 
