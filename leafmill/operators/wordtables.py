@@ -7,6 +7,7 @@ the next is done a page at a time, by ``on_pages``.  A page's words are one grou
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from statistics import median
 
@@ -41,16 +42,23 @@ def rows_by_mean(centres: list[float], tol: float) -> list[int]:
     return out
 
 
+def _numbered(rows: list, part: float) -> list[int]:
+    tol = part * median(r["y1"] - r["y0"] for r in rows)
+    return rows_by_mean([(r["y0"] + r["y1"]) / 2 for r in rows], tol)
+
+
 def text_rows(words: DataFrame, part: float = 0.5) -> DataFrame:
     """words with ``row``, from 0 down the page: a word joins the row whose mean centre is within ``part`` of the median height."""
+    own = ["word", "text", *BOX]
 
     def number(rows: list) -> list[tuple]:
-        tol = part * median(r["h"] for r in rows)
-        return [(r["word"], k) for r, k in zip(rows, rows_by_mean([r["cy"] for r in rows], tol), strict=True)]
+        return [(*(r[c] for c in own), k) for r, k in zip(rows, _numbered(rows, part), strict=True)]
 
-    centre = words.withColumn("cy", (F.col("y0") + F.col("y1")) / 2).withColumn("h", F.col("y1") - F.col("y0"))
-    found = on_pages(centre, ["cy", "x0", "word", "h"], number, f"word {dict(words.dtypes)['word']}, row long")
-    return words.join(found, ["page", "word"])
+    centre = words.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    kinds = dict(words.dtypes)
+    found = on_pages(centre, ["cy", "x0", "word", "text", "y0", "x1", "y1"], number, ", ".join(f"{c} {kinds[c]}" for c in own) + ", row long")
+    more = [c for c in words.columns if c not in ("page", *own)]
+    return found.join(words.select("page", "word", *more), ["page", "word"]) if more else found
 
 
 def _hull(df_keys: list[str], df: DataFrame, order: str = "x0") -> DataFrame:
@@ -79,33 +87,86 @@ def phrases(rows: DataFrame, gap: float = 0.8) -> DataFrame:
     return _hull(["page", "row", "phrase"], in_phrases(rows, gap))
 
 
-def aligned_phrases(rows: DataFrame, gap: float = 0.8, wide: float = 1.4, near: float = 1.5) -> DataFrame:
-    """Phrases after those that hold two cells are split, and those that are one cell are joined.
+def _page_lines(rows: list, gap: float) -> list[list[list]]:
+    """Words, sorted by centre, as rows of phrases of words."""
+    far = gap * median(r["y1"] - r["y0"] for r in rows)
+    lines: list[list] = []
+    for r, k in zip(rows, _numbered(rows, 0.5), strict=True):
+        lines.extend([] for _ in range(k + 1 - len(lines)))
+        lines[k].append(r)
+    out = []
+    for line in lines:
+        line.sort(key=lambda w: (w["x0"], w["word"]))
+        parts = [[line[0]]]
+        for a, b in zip(line, line[1:], strict=False):
+            if b["x0"] - a["x1"] > far and not _is_sign(a, b):
+                parts.append([])
+            parts[-1].append(b)
+        out.append(parts)
+    return out
+
+
+def _is_sign(a, b) -> bool:
+    return a["text"] in SIGNS and bool(re.match(AMOUNT, b["text"]))
+
+
+def _aligned(lines: list[list[list]], wide: float, near: float) -> list[list[list]]:
+    """Rows of phrases, split where cells line up across rows and joined where a phrase lines up with nothing."""
+    spaces = [b["x0"] - a["x1"] for line in lines for p in line for a, b in zip(p, p[1:], strict=False)]
+    spaces = [x for x in spaces if x > 0]
+    if len(spaces) < 4:
+        return lines
+    usual, tol = median(spaces), median(w["y1"] - w["y0"] for line in lines for p in line for w in p) / 2
+    cand = lambda a, b: b["x0"] - a["x1"] >= wide * usual and not _is_sign(a, b)
+    edges = sorted((w["x0"], k) for k, line in enumerate(lines) for p in line for i, w in enumerate(p) if i == 0 or cand(p[i - 1], w))
+    at = [x for x, _ in edges]
+
+    def lines_up(x: float, k: int) -> bool:
+        return any(row != k for _, row in edges[bisect_left(at, x - tol) : bisect_right(at, x + tol)])
+
+    out = []
+    for k, line in enumerate(lines):
+        new: list[list] = []
+        for n, p in enumerate(line):
+            digits = any(_DIGIT.search(w["text"]) for q in line[max(0, n - 1) : n + 1] for w in q)
+            joins = n and p[0]["x0"] - line[n - 1][-1]["x1"] < near * usual and not digits and not lines_up(p[0]["x0"], k)
+            if not joins:
+                new.append([])
+            for i, w in enumerate(p):
+                if i and cand(p[i - 1], w) and lines_up(w["x0"], k):
+                    new.append([])
+                new[-1].append(w)
+        out.append(new)
+    return out
+
+
+def _phrase(words: list) -> dict:
+    box = {"x0": min(w["x0"] for w in words), "y0": min(w["y0"] for w in words), "x1": max(w["x1"] for w in words), "y1": max(w["y1"] for w in words)}
+    return {"text": " ".join(w["text"] for w in words), **box, "n_words": len(words)}
+
+
+_BY_CENTRE = ["cy", "x0", "word", "text", "y0", "x1", "y1"]
+
+
+def _centred(words: DataFrame) -> DataFrame:
+    return words.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+
+
+def aligned_phrases(words: DataFrame, gap: float = 0.8, wide: float = 1.4, near: float = 1.5) -> DataFrame:
+    """(page, row, phrase, text, x0, y0, x1, y1, n_words): phrases after those that hold two cells are split, and those that are one are
+    joined.
 
     A phrase is split before a word that stands behind ``wide`` median spaces and whose left edge lines up, within half a word height,
-    with one on another row that begins a phrase or stands so too; never between a sign and its amount.  A phrase less than ``near`` spaces behind the one before it joins
-    that if it lines up with nothing and neither holds a digit.  Pages of fewer than four spaces inside phrases stay as they are.
+    with one on another row that begins a phrase or stands so too; never between a sign and its amount.  A phrase less than ``near``
+    spaces behind the one before it joins that if it lines up with nothing and neither holds a digit.  Pages of fewer than four spaces
+    inside phrases stay as they are.
     """
-    w = Window.partitionBy("page", "row").orderBy("x0", "word")
-    inside = Window.partitionBy("page", "row", "phrase").orderBy("x0", "word")
-    words = in_phrases(rows, gap).withColumn("space", F.col("x0") - F.lag("x1").over(inside))
-    words = words.withColumn("amount", F.coalesce(F.lag("text").over(inside).isin(*SIGNS) & F.col("text").rlike(AMOUNT), F.lit(False)))
-    page = words.groupBy("page").agg(
-        F.percentile(F.when(F.col("space") > 0, F.col("space")), 0.5).alias("usual"), F.count(F.when(F.col("space") > 0, 1)).alias("n"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("h")
-    )
-    words = words.join(page, "page").withColumn("starts", F.col("space").isNull()).withColumn("cand", (F.col("n") >= 4) & (F.col("space") >= wide * F.col("usual")) & ~F.col("amount"))
-    edge = words.filter("starts or cand").select("page", F.col("row").alias("other"), F.col("x0").alias("x"), "h")
-    # Edges meet in cells of half a height and the next ones.
-    cell = lambda c: F.floor(F.col(c) / (F.col("h") / 2))
-    mine = words.filter("starts or cand").select("page", "row", "word", "x0", "h", F.explode(F.array(cell("x0") - 1, cell("x0"), cell("x0") + 1)).alias("cell"))
-    met = mine.join(edge.select("page", "other", "x", cell("x").alias("cell")), ["page", "cell"]).filter((F.col("row") != F.col("other")) & (F.abs(F.col("x0") - F.col("x")) <= F.col("h") / 2))
-    words = words.join(met.select("page", "word", F.lit(True).alias("lines_up")).distinct(), ["page", "word"], "left").na.fill(False, ["lines_up"])
-    digits = F.max(F.col("text").rlike("[0-9]").cast("int")).over(Window.partitionBy("page", "row", "phrase"))
-    words = words.withColumn("digits", digits).withColumn("gap_before", F.col("x0") - F.lag("x1").over(w)).withColumn("digits_before", F.lag("digits").over(w))
-    joins = (F.col("n") >= 4) & F.col("starts") & ~F.col("lines_up") & (F.col("gap_before") < near * F.col("usual")) & (F.col("digits") + F.col("digits_before") == 0)
-    begins = F.when(F.col("gap_before").isNull(), 0).when(F.col("starts"), F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).otherwise((F.col("cand") & F.col("lines_up")).cast("int"))
-    again = words.withColumn("begins", begins).withColumn("phrase", F.sum("begins").over(w))
-    return _hull(["page", "row", "phrase"], again.select("page", "row", "phrase", "word", "text", *BOX))
+
+    def split(rows: list) -> list[tuple]:
+        lines = _aligned(_page_lines(rows, gap), wide, near)
+        return [(k, n, *(_phrase(p)[c] for c in ("text", *BOX, "n_words"))) for k, line in enumerate(lines) for n, p in enumerate(line)]
+
+    return on_pages(_centred(words), _BY_CENTRE, split, "row long, phrase long, text string, x0 double, y0 double, x1 double, y1 double, n_words long")
 
 
 def columns(ph: DataFrame, cross: float = 0.0) -> DataFrame:
@@ -224,14 +285,12 @@ def _sign_columns(cells: list[tuple[int, int, int, str]], n_cols: int) -> tuple[
     return cells, n_cols
 
 
-def _table(items: list) -> list[tuple[int, int, int, str]]:
-    """(row, col, colspan, text) of one table: its columns and its phrases in rows."""
-    cols = sorted({(i["col_no"], i["a"], i["b"]) for i in items})
-    spans = [(a, b) for _, a, b in cols]
+def _table(items: list, spans: list[tuple[float, float]]) -> list[tuple[int, int, int, str]]:
+    """(row, col, colspan, text) of one table: its phrases by row and its columns' edges."""
     rows: dict[int, list[dict]] = {}
     for i in items:
         rows.setdefault(i["row"], []).append({k: i[k] for k in ("text", *BOX)})
-    seen = [sorted(({**p} for p in {(p["x0"], p["text"]): p for p in r}.values()), key=lambda p: p["x0"]) for _, r in sorted(rows.items())]
+    seen = [sorted(r, key=lambda p: p["x0"]) for _, r in sorted(rows.items())]
     line = median(p["y1"] - p["y0"] for r in seen for p in r)
     first = next((k for k, r in enumerate(seen[:4]) if any(_DIGIT.search(p["text"]) for p in r[1:])), 1)
     before = len(seen)
@@ -264,20 +323,42 @@ def _table(items: list) -> list[tuple[int, int, int, str]]:
 LEADER = r"^[.·…_]{3,}$"
 
 
+def _free_columns(lines: list[list[dict]], cross: float) -> list[tuple[float, float]]:
+    """What the phrases of rows with more than one cover along the page, or all if there are none."""
+    multi = [r for r in lines if len(r) > 1]
+    every = [p for r in multi or lines for p in r]
+    if not multi:
+        return [(min(p["x0"] for p in every), max(p["x1"] for p in every))]
+    step: dict[float, int] = {}
+    for p in every:
+        step[p["x0"]] = step.get(p["x0"], 0) + 1
+        step[p["x1"]] = step.get(p["x1"], 0) - 1
+    out, depth, start = [], 0, None
+    for x in sorted(step):
+        depth += step[x]
+        if depth > cross * len(multi) and start is None:
+            start = x
+        elif depth <= cross * len(multi) and start is not None:
+            out.append((start, x))
+            start = None
+    return out or [(min(p["x0"] for p in every), max(p["x1"] for p in every))]
+
+
 def whitespace_table(words: DataFrame, gap: float = 0.8, cross: float = 0.0, aligned: bool = True) -> DataFrame:
     """(page, row, col, colspan, text): each page's words as one table, by rows, phrases and the columns between them.
 
     Leaders drop out; header lines that go on under each other melt, headers span the columns they stand over, wrapped body cells go
     on their rows, and columns of currency signs join the next.  A page without two phrases on a row is one column.
     """
-    rows = text_rows(words.filter(~F.col("text").rlike(LEADER)))
-    ph = aligned_phrases(rows, gap) if aligned else phrases(rows, gap)
-    cols = columns(ph, cross)
-    whole = ph.groupBy("page").agg(F.min("x0").alias("a"), F.max("x1").alias("b"))
-    c = whole.join(cols.select("page", F.col("col").alias("col_no"), F.col("x0").alias("c0"), F.col("x1").alias("c1")), "page", "left")
-    c = c.select("page", F.coalesce("col_no", F.lit(0)).alias("col_no"), F.coalesce("c0", "a").alias("a"), F.coalesce("c1", "b").alias("b"))
-    both = ph.select("page", "row", "text", *BOX).join(c, "page")
-    return on_pages(both, ["row", "x0", "text", "y0", "x1", "y1", "col_no", "a", "b"], _table, "row long, col long, colspan long, text string")
+
+    def read(rows: list) -> list[tuple]:
+        lines = _page_lines(rows, gap)
+        lines = _aligned(lines, 1.4, 1.5) if aligned else lines
+        phrases_ = [[_phrase(p) for p in line] for line in lines]
+        return _table([{**p, "row": k} for k, line in enumerate(phrases_) for p in line], _free_columns(phrases_, cross))
+
+    own = _centred(words.filter(~F.col("text").rlike(LEADER)))
+    return on_pages(own, _BY_CENTRE, read, "row long, col long, colspan long, text string")
 
 
 def find_tables(words: DataFrame, gap: float = 0.8, pitch: float = 1.6, least: int = 2) -> DataFrame:
