@@ -24,17 +24,17 @@ def top_ranked(df: DataFrame, group: list[str], order: list, top: int, salt: lis
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, name: str = "quantile") -> DataFrame:
     """(keys, name): the interpolated quantile of each group, exact, nulls left out.
 
-    A sketch brackets it (its rank is off by a ten-thousandth at most), rows below the bracket are counted, and only the distinct
-    values inside, some ten-thousandths of the group, are ordered.
+    A sketch brackets it (its rank is off by a ten-thousandth at most), rows outside the bracket are counted, and only the
+    distinct values inside, some ten-thousandths of the group, are ordered.
     """
     own = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
     around = [max(0.0, q - 3e-4), min(1.0, q + 3e-4)]
     bracket = own.groupBy(*keys).agg(F.percentile_approx("v", around, 10_000).alias("b"), F.count("*").alias("n"))
     met = own.join(bracket, keys) if keys else own.join(F.broadcast(bracket))
     side = F.when(F.col("v") < F.col("b")[0], -1).when(F.col("v") > F.col("b")[1], 1).otherwise(0)
-    # One row for all below, and one for each distinct value inside.
-    per = met.withColumn("side", side).filter("side <= 0").groupBy(*keys, "n", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
-    per = per.agg(F.count("*").alias("m"), F.max("v").alias("v"))
+    # One row for all below and one for all above, standing for their nearest value, and one for each distinct value inside.
+    per = met.withColumn("side", side).groupBy(*keys, "n", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
+    per = per.agg(F.count("*").alias("m"), F.when(F.col("side") > 0, F.min("v")).otherwise(F.max("v")).alias("v"))
     ends = per.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys).orderBy("side", "inside")))
     at = F.lit(q) * (F.col("n") - 1)
     first = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
