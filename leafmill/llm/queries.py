@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import media, minhash, mixing, pieces, piecemodel, pii, simhash, spans, toxicity, urls, wordpiece
+from leafmill.llm import fim, linefreq, media, minhash, mixing, oracles, pieces, piecemodel, pii, simhash, spans, spelling, toxicity, urls, wordpiece
 
 #: Folder of the public tokenizer files; read on the driver only.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
@@ -116,3 +116,25 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text with the public 32k model, and whether decoding gives the text back."""
     return pieces.encode(_table(spark, sf_dir, "documents"), _piece_file())
+
+
+@_query
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in more than 5 % (and more than ten) of a source's documents go; depleted documents are rejected."""
+    return linefreq.judge(_table(spark, sf_dir, "documents"), share=0.05, least=10)
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut in three and put together anew, and back."""
+    done = fim.restore(fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least five code points and three occurrences, each under its most frequent near word."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+ORACLES |= {"op11_line_frequency": oracles.LINE_FREQUENCY, "op12_fill_in_middle": oracles.FILL_IN_MIDDLE, "op13_spelling_variants": oracles.SPELLING}
