@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.staging import materialize
 
 #: Cells that stand for a tick: fixed values.
 TICKS = ["✓", "✔", "√", "v", "V", "x", "X", "☑"]
@@ -40,6 +41,12 @@ def is_total(label: Column) -> Column:
     return label.rlike(T.TOTAL) | near
 
 
+def with_totals(cells: DataFrame) -> DataFrame:
+    """cells with ``label`` (the first filled cell's text of their row) and ``total`` (whether it is a total's, below the first row)."""
+    label = F.min_by(F.when(_filled(), F.col("text")), F.when(_filled(), F.col("col"))).over(_by("row"))
+    return cells.withColumn("label", label).withColumn("total", F.coalesce((F.col("row") > 0) & is_total(F.col("label")), F.lit(False)))
+
+
 def labels(cells: DataFrame) -> DataFrame:
     """(table, row, label): the first filled cell's text of each row that has one."""
     first = F.min_by("text", "col")
@@ -51,12 +58,22 @@ def total_rows(cells: DataFrame) -> DataFrame:
     return labels(cells).filter((F.col("row") > 0) & is_total(F.col("label"))).select("table", "row")
 
 
+def _n_header(first: Column, most: int) -> Column:
+    return F.when(first.between(1, most), first).otherwise(0).cast("long")
+
+
 def header_rows(cells: DataFrame, most: int = 3) -> DataFrame:
     """(table, n_rows, n_header): rows above the first one with a figure behind the first column, if they are one to ``most``."""
     f = figures(cells)
     first = F.min(F.when((F.col("col") > 0) & F.col("figure"), F.col("row")))
     per = f.groupBy("table").agg((F.max("row") + 1).alias("n_rows"), first.alias("first"))
-    return per.select("table", F.col("n_rows").cast("long").alias("n_rows"), F.when(F.col("first").between(1, most), F.col("first")).otherwise(0).cast("long").alias("n_header"))
+    return per.select("table", F.col("n_rows").cast("long").alias("n_rows"), _n_header(F.col("first"), most).alias("n_header"))
+
+
+def with_header(cells: DataFrame, most: int = 3) -> DataFrame:
+    """cells with ``figure``, ``value`` and ``n_header``, as in ``header_rows``."""
+    first = F.min(F.when((F.col("col") > 0) & F.col("figure"), F.col("row"))).over(_by())
+    return figures(cells).withColumn("n_header", _n_header(first, most))
 
 
 def figure_columns(cells: DataFrame, below: int = 0, least: int = 3, share: float = 0.6) -> DataFrame:
@@ -78,18 +95,22 @@ def _near(a: Column, b: Column, tol: float) -> Column:
     return F.abs(a - b) <= tol * F.greatest(F.abs(b), F.lit(1.0))
 
 
-def _body_values(cells: DataFrame) -> DataFrame:
-    """(table, row, col, value) of figures in rows that are no totals."""
-    values = figures(cells).filter("value is not null").select("table", "row", "col", "value")
-    return values.join(total_rows(cells), ["table", "row"], "left_anti")
+def marked_values(cells: DataFrame) -> DataFrame:
+    """(table, row, col, value, total) of all figures; total: whether their row is a total's."""
+    return figures(with_totals(cells)).filter("value is not null").select("table", "row", "col", "value", "total")
 
 
 def product_checks(cells: DataFrame, tol: float = 0.011, least: int = 3, share: float = 0.75) -> DataFrame:
+    """products(marked_values(cells))."""
+    return products(marked_values(cells), tol, least, share)
+
+
+def products(values: DataFrame, tol: float = 0.011, least: int = 3, share: float = 0.75) -> DataFrame:
     """(table, row, col, kind, ok): for column triples a x b = c, searched among all, that hold on ``least`` rows and ``share`` of them.
 
     The factors are an unordered pair; a row applies where it has all three figures; total rows are left out.  ``col`` is c.
     """
-    row = _body_values(cells).groupBy("table", "row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("v"))  # a row's cells
+    row = values.filter("not total").groupBy("table", "row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("v"))  # a row's cells
     one = row.withColumn("x", F.explode("v")).withColumn("y", F.explode(F.filter("v", lambda e: e["col"] > F.col("x.col"))))
     one = one.withColumn("z", F.explode(F.filter("v", lambda e: (e["col"] != F.col("x.col")) & (e["col"] != F.col("y.col")))))
     one = one.select("table", "row", F.col("x.col").alias("a"), F.col("y.col").alias("b"), F.col("z.col").alias("col"), _near(F.col("x.value") * F.col("y.value"), F.col("z.value"), tol).alias("ok"))
@@ -100,29 +121,35 @@ def product_checks(cells: DataFrame, tol: float = 0.011, least: int = 3, share:
 
 
 def sum_checks(cells: DataFrame, tol: float = 0.011) -> DataFrame:
+    """sums(marked_values(cells))."""
+    return sums(marked_values(cells), tol)
+
+
+def sums(values: DataFrame, tol: float = 0.011) -> DataFrame:
     """(table, row, col, kind, ok): each total row's figures against the sum of their column since the header or the total before."""
-    f = figures(cells).filter("value is not null").select("table", "row", "col", "value")
-    marked = f.join(total_rows(cells).withColumn("total", F.lit(True)), ["table", "row"], "left").na.fill(False, ["total"])
     down = Window.partitionBy("table", "col").orderBy("row")
     above = F.coalesce(F.sum(F.col("total").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = marked.withColumn("part", above)
+    part = values.withColumn("part", above)
     inside = Window.partitionBy("table", "col", "part")
     summed = part.withColumn("sum", F.sum(F.when(~F.col("total"), F.col("value"))).over(inside)).withColumn("n", F.count(F.when(~F.col("total"), 1)).over(inside))
     return summed.filter("total and n > 0").select("table", "row", "col", F.lit("sum").alias("kind"), _near(F.col("sum"), F.col("value"), tol).alias("ok"))
 
 
 def crossfoot_checks(cells: DataFrame, tol: float = 0.011, least: int = 3, share: float = 0.75) -> DataFrame:
+    """crossfoots(marked_values(cells))."""
+    return crossfoots(marked_values(cells), tol, least, share)
+
+
+def crossfoots(values: DataFrame, tol: float = 0.011, least: int = 3, share: float = 0.75) -> DataFrame:
     """(table, row, col, kind, ok): columns that are the sum of a run of two and more figure columns before them, blanks 0.
 
     All runs are tried by differences of running sums; a column keeps the run that most rows satisfy (ties: first, longest).
     """
-    values = _body_values(cells)
-    cols = values.select("table", "col").distinct()
-    rows = values.select("table", "row").distinct()
-    grid = rows.join(cols, "table").join(values, ["table", "row", "col"], "left")
-    upto = F.sum(F.coalesce("value", F.lit(0.0))).over(_by("row").orderBy("col"))
-    place = F.dense_rank().over(_by("row").orderBy("col"))
-    at = grid.withColumn("upto", upto).withColumn("place", place)
+    body = values.filter("not total").withColumn("cols", F.sort_array(F.collect_set("col").over(_by())))  # a table's columns
+    rows = body.groupBy("table", "row", "cols").agg(F.collect_list(F.struct("col", "value")).alias("v"))
+    at = rows.select("table", "row", "v", F.posexplode("cols").alias("place", "col"))
+    at = at.withColumn("value", F.get(F.filter("v", lambda e: e["col"] == F.col("col")), F.lit(0))["value"])
+    at = at.withColumn("upto", F.sum(F.coalesce("value", F.lit(0.0))).over(_by("row").orderBy("col")))
     row = at.groupBy("table", "row").agg(F.sort_array(F.collect_list(F.struct("place", "col", "value", "upto"))).alias("v"))  # a row's cells
     one = row.withColumn("z", F.explode(F.filter("v", lambda e: e["value"].isNotNull())))
     starts = F.filter("v", lambda e: e["place"] <= F.col("z.place") - 2)
@@ -137,8 +164,12 @@ def crossfoot_checks(cells: DataFrame, tol: float = 0.011, least: int = 3, share
 
 
 def check_cells(cells: DataFrame, tol: float = 0.011) -> DataFrame:
-    """(table, row, col, state): 'ok' or 'fail' for the cells that some check judges; one that fails wins."""
-    every = product_checks(cells, tol).unionByName(sum_checks(cells, tol)).unionByName(crossfoot_checks(cells, tol))
+    """(table, row, col, state): 'ok' or 'fail' for the cells that some check judges; one that fails wins.
+
+    The tables' figures are written once and read by the three checks.
+    """
+    values = materialize(marked_values(cells), "figures")
+    every = products(values, tol).unionByName(sums(values, tol)).unionByName(crossfoots(values, tol))
     return every.groupBy("table", "row", "col").agg(F.when(F.min("ok"), "ok").otherwise("fail").alias("state"))
 
 
@@ -154,8 +185,8 @@ def check_counts(states: DataFrame, parents: DataFrame | None = None) -> DataFra
 
 def split_totals(cells: DataFrame) -> DataFrame:
     """cells with ``part`` ('body' or 'totals') and their row in it: rows from the first total row on are a table of their own."""
-    first = total_rows(cells).groupBy("table").agg(F.min("row").alias("_first"))
-    both = cells.join(first, "table", "left")
+    marked = with_totals(cells)
+    both = marked.withColumn("_first", F.min(F.when(F.col("total"), F.col("row"))).over(_by())).drop("label", "total")
     late = F.col("row") >= F.col("_first")
     out = both.withColumn("part", F.when(late, "totals").otherwise("body")).withColumn("part_row", F.when(late, F.col("row") - F.col("_first")).otherwise(F.col("row")))
     return out.drop("_first")
@@ -231,21 +262,22 @@ def label_spans(cells: DataFrame) -> DataFrame:
     above them; a body row with a label only spans all columns ('section'); a total's label that is set right spans from the left
     edge ('total'); other cells are 'cell'.
     """
-    head = header_rows(cells)
-    width = cells.groupBy("table").agg((F.max("col") + 1).alias("n_cols"))
-    f = cells.filter(_filled()).join(head, "table").join(width, "table")
+    f = with_header(cells).withColumn("n_cols", F.max("col").over(_by()) + 1).filter(_filled())
     in_row = _by("row")
     f = f.withColumn("first", F.min("col").over(in_row)).withColumn("n", F.count("*").over(in_row)).withColumn("body", F.col("row") >= F.col("n_header"))
-    section = F.col("body") & (F.col("col") == 0) & (F.col("n") == 1) & ~T.is_figure(F.col("text"))
+    section = F.col("body") & (F.col("col") == 0) & (F.col("n") == 1) & ~F.col("figure")
     total = F.col("body") & (F.col("col") == F.col("first")) & (F.col("col") > 0) & is_total(F.col("text"))
     f = f.withColumn("role", F.when(section, "section").when(total, "total").otherwise("cell"))
-    # Rows that continue a group: filled, without a first cell, no total, under a row with a label that is no section.
-    rows = f.groupBy("table", "row", "body").agg((F.min("col") == 0).alias("labelled"), F.max(F.col("role") == "section").alias("section"), F.max(F.col("role") == "total").alias("total"))
-    opens = F.col("labelled") | F.col("total") | ~F.col("body")
-    g = rows.withColumn("group", F.sum(opens.cast("int")).over(_by().orderBy("row")))
-    g = g.withColumn("span", F.count("*").over(_by("group"))).withColumn("step", F.max("row").over(_by("group")) - F.min("row").over(_by("group")) + 1)
-    g = g.withColumn("down", F.when(F.col("labelled") & F.col("body") & ~F.col("section") & (F.col("span") == F.col("step")), F.col("span")).otherwise(1))
-    f = f.join(g.select("table", "row", "down"), ["table", "row"])
+    # Rows that continue a group: filled, without a first cell, no total, under a row with a label that is no section.  A row counts
+    # at its first cell.
+    has = lambda role: F.max(F.col("role") == role).over(in_row)
+    f = f.withColumn("labelled", F.col("first") == 0).withColumn("sectioned", has("section")).withColumn("totalled", has("total"))
+    leads = F.col("col") == F.col("first")
+    opens = leads & (F.col("labelled") | F.col("totalled") | ~F.col("body"))
+    f = f.withColumn("group", F.sum(opens.cast("int")).over(_by().orderBy("row").rangeBetween(Window.unboundedPreceding, 0)))
+    in_group = _by("group")
+    f = f.withColumn("span", F.sum(leads.cast("int")).over(in_group)).withColumn("step", F.max("row").over(in_group) - F.min("row").over(in_group) + 1)
+    f = f.withColumn("down", F.when(F.col("labelled") & F.col("body") & ~F.col("sectioned") & (F.col("span") == F.col("step")), F.col("span")).otherwise(1))
     grouped = (F.col("col") == 0) & (F.col("down") > 1)
     return f.select(
         "table",
@@ -272,22 +304,21 @@ def header_paths(cells: DataFrame, sep: str = " > ") -> DataFrame:
     The stub is the leading columns of which fewer than half of the filled body cells are figures.  A cell's column headers are the
     header cells whose columns meet its own, by row; its row headers the stub's cells whose rows meet its own, by column.
     """
-    c = with_spans(cells).filter(_filled()).join(header_rows(cells).select("table", "n_header"), "table")
-    f = figures(c)
-    body = f.filter("row >= n_header")
-    per = body.groupBy("table", "col").agg((F.avg(F.col("figure").cast("int")) < 0.5).alias("label"))
-    stub = per.withColumn("stub", F.min("label").over(_by().orderBy("col"))).filter("stub").groupBy("table").agg((F.max("col") + 1).alias("n_stub"))
-    body = body.join(stub, "table", "left").na.fill(0, ["n_stub"])
-    cell = body.filter("col >= n_stub").select("table", "row", "col", "text", "rowspan", "colspan")
-    over = f.filter("row < n_header").select("table", F.col("row").alias("hr"), F.col("col").alias("hc"), F.col("colspan").alias("hw"), F.col("text").alias("ht"))
-    beside = body.filter("col < n_stub").select("table", F.col("row").alias("hr"), F.col("col").alias("hc"), F.col("rowspan").alias("hh"), F.col("text").alias("ht"))
-    path = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "ht"))), lambda x: x["ht"]), sep)  # noqa: E731  (a table's headers)
-    ups = cell.join(over, "table").filter((F.col("hc") < F.col("col") + F.col("colspan")) & (F.col("col") < F.col("hc") + F.col("hw")))
-    ups = ups.groupBy("table", "row", "col").agg(path(["hr", "hc"]).alias("col_path"))
-    lefts = cell.join(beside, "table").filter((F.col("hr") < F.col("row") + F.col("rowspan")) & (F.col("row") < F.col("hr") + F.col("hh")))
-    lefts = lefts.groupBy("table", "row", "col").agg(path(["hc", "hr"]).alias("row_path"))
-    on = ["table", "row", "col"]
-    return cell.join(ups, on, "left").join(lefts, on, "left").select(*on, "text", F.coalesce("col_path", F.lit("")).alias("col_path"), F.coalesce("row_path", F.lit("")).alias("row_path"))
+    f = with_header(with_spans(cells).filter(_filled())).withColumn("body", F.col("row") >= F.col("n_header"))
+    f = f.withColumn("label", F.avg(F.when(F.col("body"), F.col("figure").cast("int"))).over(_by("col")) < 0.5)
+    f = f.withColumn("first", F.min(F.when(F.col("body") & ~F.col("label"), F.col("col"))).over(_by()))
+    leading = F.col("body") & (F.col("first").isNull() | (F.col("col") < F.col("first")))
+    f = f.withColumn("n_stub", F.coalesce(F.max(F.when(leading, F.col("col"))).over(_by()) + 1, F.lit(0)))
+    head = F.struct("row", "col", "colspan", "text")
+    f = f.withColumn("heads", F.sort_array(F.collect_list(F.when(~F.col("body"), head)).over(_by()))).filter("body")  # a table's headers
+    mine = F.filter("heads", lambda h: (h["col"] < F.col("col") + F.col("colspan")) & (F.col("col") < h["col"] + h["colspan"]))
+    f = f.withColumn("col_path", F.array_join(F.transform(mine, lambda h: h["text"]), sep))
+    # Stub cells meet the others of each row that they take in.
+    rows = f.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rowspan").cast("long") - 1))).withColumn("at", F.col("row") + F.col("at"))
+    beside = F.struct("col", "row", "text")
+    rows = rows.withColumn("stub", F.collect_list(F.when(F.col("col") < F.col("n_stub"), beside)).over(Window.partitionBy("table", "at")))
+    cell = rows.filter("col >= n_stub").groupBy("table", "row", "col", "text", "col_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("stub")))).alias("stub"))
+    return cell.select("table", "row", "col", "text", "col_path", F.array_join(F.transform("stub", lambda h: h["text"]), sep).alias("row_path"))
 
 
 def fix_texts(cells: DataFrame) -> DataFrame:
@@ -334,14 +365,15 @@ def prefer(first: DataFrame, second: DataFrame, weights: list[float], constant:
 def grid(cells: DataFrame) -> DataFrame:
     """(table, r, c, dy, dx, text, rowspan, colspan): every slot of each table, and its place in the cell that takes it; null: empty."""
     c = with_spans(cells)
-    size = c.groupBy("table").agg(F.max(F.col("row") + F.col("rowspan") - 1).alias("h"), F.max(F.col("col") + F.col("colspan") - 1).alias("w"))
     over = c.select("*", F.explode(F.sequence(F.lit(0), F.col("rowspan").cast("int") - 1)).alias("dy"))
     over = over.select("*", F.explode(F.sequence(F.lit(0), F.col("colspan").cast("int") - 1)).alias("dx"))
     more = [x for x in c.columns if x not in ("table", "row", "col", "text", "rowspan", "colspan")]
     taken = over.select("table", (F.col("row") + F.col("dy")).alias("r"), (F.col("col") + F.col("dx")).alias("c"), "dy", "dx", "text", "rowspan", "colspan", *more)
-    slots = size.select("table", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long"))).alias("r"))
-    slots = slots.select("table", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long"))).alias("c"))
-    return slots.join(taken, ["table", "r", "c"], "left")
+    reach = c.groupBy("table").agg(F.max(F.col("row") + F.col("rowspan") - 1).alias("h"), F.max(F.col("col") + F.col("colspan") - 1).alias("w"))
+    long = lambda x: F.col(x).cast("long")
+    slots = reach.select("table", "w", F.explode(F.sequence(F.lit(0).cast("long"), long("h"))).alias("r"))
+    slots = slots.select("table", "r", F.explode(F.sequence(F.lit(0).cast("long"), long("w"))).alias("c"))
+    return slots.join(taken.withColumn("r", long("r")).withColumn("c", long("c")), ["table", "r", "c"], "left")
 
 
 def structure_tokens(cells: DataFrame) -> DataFrame:

@@ -49,15 +49,38 @@ def _heads(l: DataFrame) -> DataFrame:
     return _cells(l.filter("r = 1"), F.lit(0), *[(c, F.lit(t)) for c, t in enumerate(HEADS)])
 
 
+def _line() -> list[tuple]:
+    """Column and text of a line's cells."""
+    return [(0, F.concat(F.lit("part "), F.col("p").cast("string"))), (1, F.col("q").cast("string")), (2, _money(F.col("u"))), (3, _money(F.col("a")))]
+
+
 def _body(l: DataFrame, row=None) -> DataFrame:
-    part = F.concat(F.lit("part "), F.col("p").cast("string"))
-    return _cells(l, F.col("r") if row is None else row, (0, part), (1, F.col("q").cast("string")), (2, _money(F.col("u"))), (3, _money(F.col("a"))))
+    return _cells(l, F.col("r") if row is None else row, *_line())
+
+
+def _placed(l: DataFrame, *cells: tuple) -> DataFrame:
+    """A cell for each (row, column, text) whose text is not null, of each line: one pass for heads, lines and totals."""
+    each = F.array(*[F.struct(F.lit(r).cast("long").alias("row") if isinstance(r, int) else r.cast("long").alias("row"), F.lit(c).cast("long").alias("col"), t.alias("text")) for r, c, t in cells])
+    return l.select("table", F.explode(F.filter(each, lambda x: x["text"].isNotNull())).alias("c")).select("table", "c.*")
+
+
+def _totalled(l: DataFrame) -> DataFrame:
+    """Lines with their order's total and its label."""
+    whole = F.sum("a").over(Window.partitionBy("table"))
+    t = F.floor(whole * F.when(F.col("table") % 5 == 0, 6).otherwise(5) / 5)
+    return l.withColumn("t", t).withColumn("label", F.when(F.col("table") % 4 == 0, "T0tal").otherwise("Total"))
+
+
+def _first(text) -> F.Column:
+    return F.when(F.col("r") == 1, text)
 
 
 def ledger(spark, sf_dir) -> DataFrame:
     """(table, row, col, text)."""
-    l = lines(spark, sf_dir)
-    return _heads(l).unionByName(_body(l)).unionByName(_cells(totals(l), F.col("n") + 1, (0, F.col("label")), (3, _money(F.col("a")))))
+    heads = [(0, c, _first(F.lit(t))) for c, t in enumerate(HEADS)]
+    body = [(F.col("r"), c, t) for c, t in _line()]
+    foot = [(F.col("n") + 1, 0, _first(F.col("label"))), (F.col("n") + 1, 3, _first(_money(F.col("t"))))]
+    return _placed(_totalled(lines(spark, sf_dir)), *heads, *body, *foot)
 
 
 def _sql_money(c: str) -> str:
@@ -154,7 +177,7 @@ def header_rows(spark, sf_dir):
     return tables.header_rows(led.unionByName(more)).select(F.col("table").alias("table_no"), "n_rows", "n_header")
 
 
-@query("ledger_paths", f"with {LEDGER} select l.k as table_no, l.row::bigint as row_no, l.col::bigint as col_no, l.text, ['Item', 'Qty', 'Price', 'Amount'][l.col + 1] col_path, s.text row_path from led l join led s on s.k = l.k and s.row = l.row and s.col = 0 where l.row > 0 and l.col > 0")
+@query("ledger_paths", f"with {LEDGER} select l.k as table_no, l.row::bigint as row_no, l.col::bigint as col_no, l.text, ['Item', 'Qty', 'Price', 'Amount'][l.col + 1] col_path, case when l.row > n then lab else 'part ' || p end row_path from led l join (select k, r, n, p, null lab from li union all select k, n + 1, n, null, lab from tl) s on s.k = l.k and s.r = l.row where l.col > 0")
 def ledger_paths(spark, sf_dir):
     """Headers over and beside every body cell."""
     return _named(tables.header_paths(ledger(spark, sf_dir)), "text", "col_path", "row_path")
@@ -223,12 +246,13 @@ _SPANS = f"""{LINES}, s as (select *, (k % 4 = 1 and n >= 2) cut from li), b as
 
 def _grouped(spark, sf_dir) -> DataFrame:
     """Ledgers with a label on every other line, a section row behind the first line of some, and the total's label set right."""
-    l = lines(spark, sf_dir).withColumn("cut", ((F.col("table") % 4 == 1) & (F.col("n") >= 2)).cast("long"))
-    body = _body(l, F.col("r") + F.when(F.col("r") >= 2, F.col("cut")).otherwise(0)).filter("col > 0")
-    named = _cells(l.filter("r % 2 = 1"), F.col("r") + F.when(F.col("r") >= 2, F.col("cut")).otherwise(0), (0, F.concat(F.lit("part "), F.col("p").cast("string"))))
-    section = _cells(l.filter("r = 1 and cut = 1"), F.lit(2), (0, F.concat(F.lit("Section "), F.col("table").cast("string"))))
-    t = totals(l).join(l.filter("r = 1").select("table", "cut"), "table")
-    return _heads(l).unionByName(body).unionByName(named).unionByName(section).unionByName(_cells(t, F.col("n") + 1 + F.col("cut"), (2, F.lit("Total")), (3, _money(F.col("a")))))
+    l = _totalled(lines(spark, sf_dir)).withColumn("cut", ((F.col("table") % 4 == 1) & (F.col("n") >= 2)).cast("long"))
+    row = F.col("r") + F.when(F.col("r") >= 2, F.col("cut")).otherwise(0)
+    heads = [(0, c, _first(F.lit(t))) for c, t in enumerate(HEADS)]
+    body = [(row, c, F.when(F.col("r") % 2 == 1, t) if c == 0 else t) for c, t in _line()]
+    section = (2, 0, _first(F.when(F.col("cut") == 1, F.concat(F.lit("Section "), F.col("table").cast("string")))))
+    last = F.col("n") + 1 + F.col("cut")
+    return _placed(l, *heads, *body, section, (last, 2, _first(F.lit("Total"))), (last, 3, _first(_money(F.col("t")))))
 
 
 @query("label_spans", f"with {_SPANS}")
@@ -249,13 +273,13 @@ def trim_notes(spark, sf_dir):
 
 @query(
     "fix_texts",
-    f"""with {LINES}, t as (select k, r, case when k % 4 = 0 and a >= 100000 then (a // 100000)::varchar || ',' || lpad((a // 100 % 1000)::varchar, 3, '0') || '.' || lpad((a % 100)::varchar, 2, '0')
-  when k % 4 = 0 then {_sql_money('a')} when k % 4 = 1 then '$' || {_sql_money('a')} when k % 4 = 2 then 'xx' || lpad((p % 10000)::varchar, 4, '0') else '✓' end as text from li where k % 4 > 0 or a < 100000000) select k as table_no, r::bigint as row_no, 1::bigint as col_no, text from t""",
+    f"""with {LINES}, t as (select k, r, case when k % 4 = 0 and a >= 100000 then format('{{:,}}', a // 100) || '.' || lpad((a % 100)::varchar, 2, '0')
+  when k % 4 = 0 then {_sql_money('a')} when k % 4 = 1 then '$' || {_sql_money('a')} when k % 4 = 2 then 'xx' || lpad((p % 10000)::varchar, 4, '0') else '✓' end as text from li) select k as table_no, r::bigint as row_no, 1::bigint as col_no, text from t""",
 )
 def fix_texts(spark, sf_dir):
     """Split figures, an S for a dollar sign, masked numbers and ticks put right."""
-    l, a = lines(spark, sf_dir).filter("table % 4 > 0 or a < 100000000"), F.col("a")
-    split = F.concat(F.floor(a / 100000).cast("string"), F.lit(", "), F.lpad((F.floor(a / 100) % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((a % 100).cast("string"), 2, "0"))
+    l, a = lines(spark, sf_dir), F.col("a")
+    split = F.concat(F.regexp_replace(F.format_number(F.floor(a / 100), 0), ",", ", "), F.lit("."), F.lpad((a % 100).cast("string"), 2, "0"))
     k = F.col("table") % 4
     t = F.when((k == 0) & (a >= 100000), split).when(k == 0, _money(a)).when(k == 1, F.concat(F.lit("S "), _money(a))).when(k == 2, F.concat(F.lit("XX"), F.lpad((F.col("p") % 10000).cast("string"), 4, "0"))).otherwise("v")
     return _named(tables.fix_texts(_cells(l, F.col("r"), (1, t))), "text")
