@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -264,29 +263,48 @@ def margin_numbers(lines: DataFrame, near: float = 40.0, least: int = 6, rising:
     return near_.join(ok.select("page"), "page").select("page", "line")
 
 
-def maximal_rectangles(obstacles: list[Box], bound: Box, min_w: float, min_h: float, limit: int = 30, most_common: float = 0.5) -> list[Box]:
-    """Largest empty rectangles inside bound, at most ``limit``, none covered by a larger one by ``most_common`` of its area.
+def empty_rectangles(obstacles: list[Box], bound: Box, min_w: float, min_h: float) -> list[Box]:
+    """All rectangles inside bound that meet no obstacle and cannot grow, of ``min_w`` by ``min_h`` at least.
 
-    Best first by area: a rectangle that holds obstacles gives the four parts around the one nearest its centre.
+    A sweep along x: an open window (from x, between two heights) closes at an obstacle that begins in it and goes on above and
+    below it; where an obstacle ends, windows open over what is free there.
     """
+    left, top, right, foot = bound
+    inside = [o for o in obstacles if o[0] < right and o[2] > left and o[1] < foot and o[3] > top]
+    events = sorted([(max(o[0], left), 1, o) for o in inside] + [(o[2], 0, o) for o in inside if o[2] < right], key=lambda e: e[:2])
+    open_, active, out = {(top, foot): left}, [], []  # heights: since when
+    for x, begins, o in events:
+        if begins:
+            active.append(o)
+            for (a, b), since in sorted(open_.items()):
+                if o[1] < b and o[3] > a:
+                    del open_[a, b]
+                    out.append((since, a, x, b))
+                    for part in ((a, o[1]), (o[3], b)):
+                        if part[1] - part[0] >= min_h:
+                            open_[part] = min(since, open_.get(part, since))
+        else:
+            active.remove(o)
+            at = top
+            for y0, y1 in [*sorted((p[1], p[3]) for p in active), (foot, foot)]:
+                if y0 - at >= min_h and at < o[3] and y0 > o[1]:
+                    open_.setdefault((at, y0), x)
+                at = max(at, y1)
+    out += [(since, a, right, b) for (a, b), since in open_.items()]
+    fits = {r for r in out if r[2] - r[0] >= min_w and r[3] - r[1] >= min_h}
+    holds = lambda p, q: p != q and p[0] <= q[0] and p[1] <= q[1] and p[2] >= q[2] and p[3] >= q[3]
+    return sorted(r for r in fits if not any(holds(p, r) for p in fits))
+
+
+def largest_rectangles(obstacles: list[Box], bound: Box, min_w: float, min_h: float, limit: int = 30, most_common: float = 0.5) -> list[Box]:
+    """The largest empty rectangles, at most ``limit``, none of which one before it covers by ``most_common`` of its area."""
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
-    heap, found, count = [(-area(bound), 0, bound, obstacles)], [], 1
-    seen = {bound}
-    while heap and len(found) < limit:
-        _, _, b, obs = heapq.heappop(heap)
-        if not obs:
-            cover = lambda o: max(0.0, min(b[2], o[2]) - max(b[0], o[0])) * max(0.0, min(b[3], o[3]) - max(b[1], o[1]))  # noqa: B023, E731
-            if all(cover(o) < most_common * area(b) for o in found):
-                found.append(b)
-            continue
-        cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-        p = min(obs, key=lambda o: ((o[0] + o[2]) / 2 - cx) ** 2 + ((o[1] + o[3]) / 2 - cy) ** 2)  # noqa: B023
-        for part in ((b[0], b[1], p[0], b[3]), (p[2], b[1], b[2], b[3]), (b[0], b[1], b[2], p[1]), (b[0], p[3], b[2], b[3])):
-            if part[2] - part[0] >= min_w and part[3] - part[1] >= min_h and part not in seen:
-                seen.add(part)
-                heapq.heappush(heap, (-area(part), count, part, [o for o in obs if _meet(o, part)]))
-                count += 1
-    return found
+    common = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    kept: list[Box] = []
+    for r in sorted(empty_rectangles(obstacles, bound, min_w, min_h), key=lambda b: (-area(b), b)):
+        if len(kept) < limit and all(common(r, k) < most_common * area(r) for k in kept):
+            kept.append(r)
+    return kept
 
 
 def gutters(items: DataFrame, bounds: DataFrame, min_w: float, height_share: float = 0.28, hug: float = 0.3, near: float = 20.0) -> DataFrame:
@@ -308,7 +326,7 @@ def gutters(items: DataFrame, bounds: DataFrame, min_w: float, height_share: flo
         boxes = [tuple(r[c] for c in BOX) for r in rows if not r["bound"]]
         tall = height_share * (bound[3] - bound[1])
         out: list[Box] = []
-        for b in sorted(maximal_rectangles(boxes, bound, min_w, tall), key=lambda b: (b[1] - b[3], b)):
+        for b in sorted(largest_rectangles(boxes, bound, min_w, tall), key=lambda b: (b[1] - b[3], b)):
             if beside(b, boxes, True) >= hug and beside(b, boxes, False) >= hug and all(abs((b[0] + b[2]) - (o[0] + o[2])) / 2 > min_w for o in out):
                 out.append(b)
         return sorted(out)

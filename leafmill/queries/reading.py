@@ -12,11 +12,11 @@ from leafmill.queries.paged import BYTEWISE
 from leafmill.queries.standard import _LEX, _WORDS, _count, _r, _t
 
 
-@query("gap_bands", f"with {LINES} select k page, 0.8e0 * 17 low, 1.25e0 * 17 high from li where n >= 3 and r = 1")
+@query("gap_bands", f"with {LINES} select k page, round(0.8e0 * (avg(3 + q % 4) + avg(25 + p % 9)) / 2, 6) low, round(1.25e0 * (avg(3 + q % 4) + avg(25 + p % 9)) / 2, 6) high from li where n >= 3 group by k")
 def gap_bands(spark, sf_dir):
-    """Band of uncertain gaps between the two kinds of each page, five and twenty-nine wide."""
+    """Band of uncertain gaps around the middle of each page's narrow gaps, three to six, and wide ones, from twenty-five on."""
     l = lines(spark, sf_dir)
-    gaps = l.select(F.col("table").alias("page"), F.explode(F.array(F.lit(5.0), F.lit(29.0))).alias("gap"))
+    gaps = l.select(F.col("table").alias("page"), F.explode(F.array(3.0 + F.col("q") % 4, 25.0 + F.col("p") % 9)).alias("gap"))
     return decoding.gap_bands(gaps).select("page", _r("low").alias("low"), _r("high").alias("high"))
 
 
@@ -31,12 +31,17 @@ def word_breaks(spark, sf_dir):
     return decoding.word_breaks(g, bands).select("page", "glyph", "word", "uncertain")
 
 
-@query("x_heights", f"with {LINES} select k page, 0::bigint as line_no, case when n >= 3 then 10.0e0 else 12.0e0 end x_height from li where r = 1")
+@query(
+    "x_heights",
+    f"""with {LINES}, g as (select k, r % 2 line, unnest([10.0e0 + q % 3, 16.0e0 + p % 3]) v, unnest([1, 0]) small from li),
+  o as (select k, line, case when count(*) >= 6 then avg(v) filter (where small = 1) end own from g group by all), e as (select k, median(v) every from g group by k)
+  select k page, line::bigint as line_no, round(coalesce(own, median(own) over (partition by k), every), 6) x_height from o join e using (k)""",
+)
 def x_heights(spark, sf_dir):
-    """Lower mode of the ascents: ten and fourteen high, three glyphs of each at least."""
+    """Lower group of each line's ascents, ten to twelve and from sixteen on; lines of fewer than three glyphs of each go by the page."""
     l = lines(spark, sf_dir)
-    g = l.select(F.col("table").alias("page"), F.lit(0).cast("long").alias("line"), F.explode(F.array(F.lit(10.0), F.lit(14.0))).alias("ascent"))
-    return decoding.x_heights(g).select("page", F.col("line").alias("line_no"), "x_height")
+    g = l.select(F.col("table").alias("page"), (F.col("r") % 2).alias("line"), F.explode(F.array(10.0 + F.col("q") % 3, 16.0 + F.col("p") % 3)).alias("ascent"))
+    return decoding.x_heights(g).select("page", F.col("line").alias("line_no"), _r("x_height").alias("x_height"))
 
 
 @query(

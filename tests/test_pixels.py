@@ -137,7 +137,15 @@ def test_assignment_and_graphs():
             assert learning.assigned(c) == pytest.approx(want)
     a = [(0.0, 0.0, 1), (1.0, 0.0, 2), (1.0, 1.0, 1)]
     assert learning.graph_distance(a, a, (1, 1), ([1.0, 1.0], [1.0, 1.0])) == 0
-    assert learning.graph_distance(a, a[:2]) == pytest.approx(0.75) and learning.graph_distance([], [], (1, 0)) == 1
+    assert learning.graph_distance(a, a[:2]) == pytest.approx(1.05) and learning.graph_distance([], [], (1, 0)) == pytest.approx(1.2)
+    for _ in range(40):  # against every way to pair some nodes and leave the others alone
+        n, m = r.integers(0, 5, 2)
+        one, two = ([(*r.random(2), int(r.integers(1, 4))) for _ in range(k)] for k in (n, m))
+        lonely = lambda v: 0.9 + 0.15 * v[2]
+        pair = lambda v, w: np.hypot(v[0] - w[0], v[1] - w[1]) + 0.35 * abs(v[2] - w[2])
+        ways = [(p, q) for k in range(min(n, m) + 1) for p in itertools.combinations(range(n), k) for q in itertools.permutations(range(m), k)]
+        cost = lambda p, q: sum(pair(one[i], two[j]) for i, j in zip(p, q, strict=True)) + sum(lonely(v) for i, v in enumerate(one) if i not in p) + sum(lonely(v) for j, v in enumerate(two) if j not in q)  # noqa: B023, E731
+        assert learning.graph_distance(one, two, (1, 0), ([1.0], [0.5, 1.0])) == pytest.approx(min(cost(*w) for w in ways) + 1.2 + 0.25 + 0.8 * 0.5)
 
 
 def test_prototypes_clusters_and_networks(spark):
@@ -170,7 +178,20 @@ def test_word_features(spark):
 
 
 def test_reading_helpers(spark):
-    assert decoding.gap_band([2, 2, 3, 2, 10, 11, 2]) is not None and decoding.gap_band([2, 2, 3]) is None and decoding.gap_band([5] * 9) is None
+    pages = {1: [2, 2, 3, 2, 10, 11, 2], 2: [2, 2, 3], 3: [5] * 9, 4: [0, 0, 0, 0, 1, 1], 5: [4, 5, 4, 5, 6, 7, 6]}
+    bands = decoding.gap_bands(spark.createDataFrame([(k, float(g)) for k, v in pages.items() for g in v], "page int, gap double"))
+    assert {b.page: (round(b.low, 6), round(b.high, 6)) for b in bands.collect()} == {1: (0.8 * 6.35, round(1.25 * 6.35, 6))}
+    r = np.random.default_rng(11)
+    rows = [(k, float(v)) for k in range(60) for v in r.integers(0, 9, int(r.integers(1, 12)))]
+    for g in decoding.two_groups(spark.createDataFrame(rows, "page int, v double"), ["page"], "v").collect():  # against every cut
+        v = np.sort([x for k, x in rows if k == g.page])
+        cuts = [k for k in range(1, len(v)) if v[k] > v[k - 1]]
+        error = lambda a: ((a - a.mean()) ** 2).sum()
+        if not cuts:
+            assert g.low is None and g.n == len(v)
+        else:
+            k = min(cuts, key=lambda k: (round(error(v[:k]) + error(v[k:]), 6), k))
+            assert (g.low, g.high) == (pytest.approx(v[:k].mean()), pytest.approx(v[k:].mean()))
     costs = {(0, 1): 1.0, (1, 2): 1.0, (2, 3): 1.0, (0, 2): 1.5, (1, 3): 3.5}
     assert decoding.merge_paths(costs, 3, 2) == [(2.5, [(0, 2), (2, 3)]), (3.0, [(0, 1), (1, 2), (2, 3)])]
     known = {"the", "cat", "at", "he"}
@@ -217,10 +238,37 @@ def test_header_wraps_and_body_wraps(spark):
 def test_span_cells_and_levels():
     hs = [(0, 0, 300, 0), (0, 100, 300, 100), (0, 200, 300, 200)]
     vs = [(0, 0, 0, 200), (300, 0, 300, 200), (200, 0, 200, 200), (100, 100, 100, 200)]
-    assert grids.span_cells([0, 100, 200], [0, 100, 200, 300], hs, vs, 5) == [(0, 0, 1, 2), (0, 2, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1)]
+    assert grids.melted_cells([0, 100, 200], [0, 100, 200, 300], hs, vs, 5) == [(0, 0, 1, 2), (0, 2, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1)]
     bent = [(0, 0, 300, 0), (0, 200, 300, 200), (100, 100, 300, 100)]
-    assert (0, 0, 1, 2) in grids.span_cells([0, 100, 200], [0, 100, 200, 300], bent, vs, 5) and (1, 0, 1, 1) in grids.span_cells([0, 100, 200], [0, 100, 200, 300], bent, vs, 5)
-    assert grids.levels([1, 2, 9, 3, 10], 1.5) == [2, 9.5] and grids.covered(0, 10, 5, [(0, 5, 4, 5), (3, 5, 6, 5), (8, 9, 10, 9)], 0, 1) == 0.6
+    assert (0, 0, 1, 2) in grids.melted_cells([0, 100, 200], [0, 100, 200, 300], bent, vs, 5) and (1, 0, 1, 1) in grids.melted_cells([0, 100, 200], [0, 100, 200, 300], bent, vs, 5)
+    assert grids.levels([1, 2, 9, 3, 10], 1.5) == [2, 9.5]
+    assert grids.border_shares([0, 10, 20], [5, 9], [(0, 5, 4, 5), (3, 5, 6, 5), (8, 9, 12, 9)], 0, 1).round(6).tolist() == [[0.6, 0.0], [0.2, 0.2]]
+    r = np.random.default_rng(7)
+    for _ in range(60):  # against a flood fill over slots
+        n, m = r.integers(1, 5, 2)
+        open_v, open_h = r.random((n, max(m - 1, 0))) < 0.4, r.random((max(n - 1, 0), m)) < 0.4
+        vs = [(10 * c + 10, 10 * y, 10 * c + 10, 10 * y + 10) for y in range(n) for c in range(m - 1) if not open_v[y, c]]
+        hs = [(10 * c, 10 * y + 10, 10 * c + 10, 10 * y + 10) for y in range(n - 1) for c in range(m) if not open_h[y, c]]
+        got = grids.melted_cells([10 * k for k in range(n + 1)], [10 * k for k in range(m + 1)], hs, vs, 1)
+        seen, want = {}, []
+        for s in itertools.product(range(n), range(m)):
+            part, todo = set(), [s] if s not in seen else []
+            while todo:
+                y, x = todo.pop()
+                if (y, x) not in part:
+                    part.add((y, x))
+                    todo += [(y, x + 1)] * int(x + 1 < m and open_v[y, x]) + [(y, x - 1)] * int(x > 0 and open_v[y, x - 1]) + [(y + 1, x)] * int(y + 1 < n and open_h[y, x]) + [(y - 1, x)] * int(y > 0 and open_h[y - 1, x])
+            seen |= dict.fromkeys(part, 1)
+            if part:
+                y0, x0, y1, x1 = min(p[0] for p in part), min(p[1] for p in part), max(p[0] for p in part), max(p[1] for p in part)
+                if len(part) == (y1 - y0 + 1) * (x1 - x0 + 1):
+                    want.append((y0, x0, y1 - y0 + 1, x1 - x0 + 1))
+                else:
+                    for y in range(y0, y1 + 1):
+                        own = sorted(x for a, x in part if a == y)
+                        begins = [x for x in own if x == 0 or x - 1 not in own or not open_v[y, x - 1]]
+                        want += [(y, x, 1, sum(1 for q in own if x <= q < min([b for b in begins if b > x], default=m))) for x in begins]
+        assert got == sorted(want)
 
 
 def test_blocks_of_a_page(spark):
@@ -238,7 +286,15 @@ def test_blocks_of_a_page(spark):
     assert blocks.melted([(0, 0, 5, 5), (10, 0, 15, 5), (4, 4, 11, 9), (50, 50, 51, 51)]) == [0, 0, 0, 3]
     assert blocks._continued([(0, 0, 100, 50), (120, 0, 220, 200), (0, 60, 100, 200)], 20, 0.9, 0.6) == [0, 2, 1]
     box = [(40, 0, 60, 100)]
-    assert set(blocks.maximal_rectangles(box, (0, 0, 100, 100), 10, 10)) == {(0, 0, 40, 100), (60, 0, 100, 100)}
+    assert set(blocks.largest_rectangles(box, (0, 0, 100, 100), 10, 10)) == {(0, 0, 40, 100), (60, 0, 100, 100)}
+    for _ in range(80):  # against all rectangles between the obstacles' edges
+        k = int(r.integers(0, 5))
+        obs = [(int(x), int(y), int(x + w), int(y + h)) for x, y, w, h in zip(*r.integers(-1, 9, (2, k)), *r.integers(1, 5, (2, k)), strict=True)]
+        xs, ys = ({0, 9} | {e for o in obs for e in (o[i], o[i + 2]) if 0 <= e <= 9} for i in (0, 1))
+        empty = [(a, c, b, d) for a in xs for b in xs for c in ys for d in ys if a < b and c < d and not any(o[0] < b and o[2] > a and o[1] < d and o[3] > c for o in obs)]
+        holds = lambda p, q: p != q and p[0] <= q[0] and p[1] <= q[1] and p[2] >= q[2] and p[3] >= q[3]
+        want = [p for p in empty if p[2] - p[0] >= 2 and p[3] - p[1] >= 2 and not any(holds(q, p) for q in empty)]
+        assert blocks.empty_rectangles(obs, (0, 0, 9, 9), 2, 2) == sorted(want)
     items = spark.createDataFrame([(1, 0.0, float(y), 40.0, y + 8.0) for y in range(0, 200, 10)] + [(1, 60.0, float(y), 100.0, y + 8.0) for y in range(0, 200, 10)], "page int, x0 double, y0 double, x1 double, y1 double")
     bounds = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 200.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert [(g.x0, g.x1) for g in blocks.gutters(items, bounds, 10.0).collect()] == [(40.0, 60.0)]
