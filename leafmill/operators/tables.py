@@ -373,7 +373,7 @@ def grid(cells: DataFrame) -> DataFrame:
     long = lambda x: F.col(x).cast("long")
     slots = reach.select("table", "w", F.explode(F.sequence(F.lit(0).cast("long"), long("h"))).alias("r"))
     slots = slots.select("table", "r", F.explode(F.sequence(F.lit(0).cast("long"), long("w"))).alias("c"))
-    return slots.join(taken.withColumn("r", long("r")).withColumn("c", long("c")), ["table", "r", "c"], "left")
+    return slots.join(taken.withColumn("r", long("r")).withColumn("c", long("c")).hint("merge"), ["table", "r", "c"], "left")  # both sides grow with the tables
 
 
 def structure_tokens(cells: DataFrame) -> DataFrame:
