@@ -6,7 +6,7 @@ from leafmill.queries import catalog, ledger  # noqa: F401  (the second register
 
 MOST = {
     "ledger_products": (1, 3), "ledger_sums": (1, 3), "ledger_split": (1, 3), "label_spans": (1, 3), "ledger_paths": (1, 3), "crossfoot_cells": (2, 4),
-    "otsl_encode": (2, 6), "otsl_decode": (2, 6), "ledger_states": (3, 8),
+    "otsl_encode": (2, 8), "otsl_decode": (2, 8), "ledger_states": (3, 8),
 }
 
 
