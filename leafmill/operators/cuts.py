@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.wordtables import on_pages
+
 Box = tuple[float, float, float, float]
 
 
@@ -41,14 +43,13 @@ def cut_order(boxes: list[Box], prefer: str = "v", least: float = 0.0) -> list[i
 def reading_order(df: DataFrame, page: str, item: str, prefer: str = "v", least: float = 0.0) -> DataFrame:
     """(page, item, place) for boxes in columns x0, y0, x1, y1; rows that lack a coordinate are left out."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([item], kind="stable").reset_index(drop=True)
-        order = cut_order(list(p[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), prefer, least)
-        return p.iloc[order][[page, item]].assign(place=range(len(order)))
+    box = ["x0", "y0", "x1", "y1"]
+
+    def run(rows: list) -> list[tuple]:
+        return [(rows[k][item], n) for n, k in enumerate(cut_order([tuple(r[c] for c in box) for r in rows], prefer, least))]
 
-    kinds = dict(df.dtypes)
-    own = df.select(page, item, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).dropna()
-    return own.groupBy(page).applyInPandas(run, f"`{page}` {kinds[page]}, `{item}` {kinds[item]}, place long")
+    own = df.select(page, item, *(F.col(c).cast("double").alias(c) for c in box)).dropna()
+    return on_pages(own, [item, *box], run, f"`{item}` {dict(df.dtypes)[item]}, place long", page)
 
 
 def overlap(a: str, b: str):
