@@ -1,8 +1,7 @@
 """Small tables on which queries differed from their SQL."""
 
-import datetime
-
 import duckdb
+import pytest
 
 from leafmill.queries import catalog, ledger, paged, reading, repair, standard  # noqa: F401  (they register their queries)
 from tests.compare import difference, views
@@ -19,3 +18,28 @@ def test_ledger_states_without_chance_sums_across(spark, tmp_path):
     rows = "values (19720, 10996, 1, 1, 14.0, 49883.4), (19720, 6884, 1, 2, 1.0, 55745.24), (19720, 3573, 1, 3, 1.0, 6309.7), (19720, 5753, 1, 4, 1.0, 101920.92)"
     sql = f"select k::bigint l_orderkey, p::bigint l_partkey, s::bigint l_suppkey, n::int l_linenumber, q::double l_quantity, e::double l_extendedprice from ({rows}) t(k, p, s, n, q, e)"
     assert _differs(spark, tmp_path, "ledger_states", lineitem=sql) == ""
+
+
+def test_capitals_of_one_character_each(spark, tmp_path):
+    # A sharp s more and there are 50 letters; with two letters for it, 50 were there before.
+    turns = "select 1::bigint conv_id, turn, repeat('a', 48 + turn // 3) || 'ß' as text from (values (0), (3)) t(turn)"
+    assert _differs(spark, tmp_path, "caps_pages", conversations=turns) == ""
+    docs = "select d::bigint doc_id, t as text from (values (2, repeat('a', 78) || 'ß'), (4, repeat('a', 79) || 'ß'), (6, repeat('a', 78) || 'ŉ ﬁ')) v(d, t)"
+    assert _differs(spark, tmp_path, "capitals_pages", documents=docs) == ""
+
+
+def test_capitals_of_every_letter(spark):
+    from leafmill.functions import text as T
+
+    df = spark.createDataFrame([("straße ﬁn ŉ ᾳ É",), ("plain",), (None,)], "text string")
+    assert [r[0] for r in df.select(T.capitals(df["text"])).collect()] == ["STRAẞE ﬁN ŉ ᾼ É", "PLAIN", None]
+
+
+EVENTS = """select row_number() over ()::bigint event_id, ts::timestamp ts, u::bigint user_id, 'signup' event_type, 1.0::double as value, '' props from
+  (select '2024-01-01 23:59:59.7' ts, 1 u union all select '2024-01-02 ' || lpad(h::varchar, 2, '0') || ':10:00.2', u from range(3) a(h), range(1, 3) b(u)
+  union all select '2024-01-02 23:59:59.6', u from range(1, 3) b(u) union all select '2024-01-03 ' || lpad(h::varchar, 2, '0') || ':10:00', u from range(2) a(h), range(1, 3) b(u)) x"""
+
+
+@pytest.mark.parametrize("name", ["stream_windows", "row_groups"])
+def test_seconds_before_midnight(spark, tmp_path, name):
+    assert _differs(spark, tmp_path, name, events=EVENTS) == ""
