@@ -8,6 +8,7 @@ MOST = {
     "ledger_products": (1, 3), "ledger_sums": (1, 3), "ledger_split": (1, 3), "label_spans": (1, 3), "ledger_paths": (1, 3), "crossfoot_cells": (2, 4),
     "otsl_encode": (2, 8), "otsl_decode": (2, 8), "ledger_states": (3, 8),
     "junction_spines": (1, 4), "junction_meshes": (1, 4), "printed_phrases": (1, 4), "printed_rows": (1, 4), "printed_tables": (1, 4), "found_tables": (3, 20), "box_order": (1, 2),
+    "paren_columns": (1, 3),
 }
 
 
