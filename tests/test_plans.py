@@ -17,3 +17,8 @@ def test_scans_and_exchanges(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     scans, exchanges = MOST[name]
     assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= exchanges
+
+
+def test_box_order_makes_no_pandas_group_a_page(spark):
+    plan = catalog.QUERIES["box_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("ArrowEvalPython") == 1
