@@ -541,14 +541,19 @@ def split_at_cells(words: DataFrame, cells: DataFrame, whole: float = 0.75) -> D
 
     A word of which ``whole`` and more lie in one cell goes there wholly; characters in no cell drop out.
     """
-    n = F.length("text")
-    chars = words.filter(n > 0).select("page", "word", F.col("text").alias("t"), "x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    chars = chars.withColumn("x", F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("i") - 0.5) / F.length("t"))
+    # A word meets the cells of its page whole, before its characters are taken apart: what is dealt by page are words.
+    own = words.filter(F.length("text") > 0).select("page", "word", F.col("text").alias("t"), "x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     c = cells.select("page", "row", "col", *[F.col(b).alias(f"c{b}") for b in BOX])
-    inside = (F.col("x") >= F.col("cx0")) & (F.col("x") < F.col("cx1")) & (F.col("y") >= F.col("cy0")) & (F.col("y") < F.col("cy1"))
-    met = chars.join(c, "page").filter(inside).groupBy("page", "word", "t", "i").agg(F.min(F.struct("row", "col")).alias("m"))
-    part = F.array_sort(F.collect_list(F.struct("i", F.substr("t", F.col("i"), F.lit(1)).alias("c"))))
-    per = met.groupBy("page", "word", "t", "m.row", "m.col").agg(F.array_join(F.transform(part, lambda x: x["c"]), "").alias("part"))
+    beside = (F.least("x0", "x1") < F.col("cx1")) & (F.greatest("x0", "x1") >= F.col("cx0")) & (F.col("y") >= F.col("cy0")) & (F.col("y") < F.col("cy1"))
+    met = own.join(c, "page").filter(beside).groupBy("page", "word", "t", "x0", "x1").agg(F.array_sort(F.collect_list(F.struct("row", "col", "cx0", "cx1"))).alias("cells"))  # a word's cells
+    each = F.sequence(F.lit(1), F.length("t"))
+    x = lambda i: F.col("x0") + (F.col("x1") - F.col("x0")) * (i - 0.5) / F.length("t")
+    first = lambda i: F.get(F.filter("cells", lambda c: (x(i) >= c["cx0"]) & (x(i) < c["cx1"])), F.lit(0))
+    homes = met.select("page", "word", "t", F.transform(each, lambda i: F.struct(first(i)["row"].alias("row"), first(i)["col"].alias("col"))).alias("homes"))
+    # (The outer form, for the plain one brings a filter that works everything out once more.)
+    per = homes.select("page", "word", "t", "homes", F.explode_outer(F.array_distinct("homes")).alias("m")).filter("m.row is not null")
+    part = F.array_join(F.transform(F.filter(each, lambda i: F.get("homes", i - 1) == F.col("m")), lambda i: F.substr("t", i, F.lit(1))), "")
+    per = per.select("page", "word", "t", "m.row", "m.col", part.alias("part"))
     w = Window.partitionBy("page", "word")
     share = F.length("part") / F.length("t")
     most = per.withColumn("most", F.max(share).over(w)).filter((F.col("most") < whole) | (share == F.col("most")))

@@ -22,3 +22,28 @@ def test_scans_and_exchanges(spark, name):
 def test_box_order_makes_no_pandas_group_a_page(spark):
     plan = catalog.QUERIES["box_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_split_words_deals_words_not_characters(spark):
+    """Every character was a row before it met the cells, so the text was dealt and sorted once for each of its letters."""
+    plan = catalog.QUERIES["split_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[plan.index("Join") :]
+
+
+def test_split_words_over_shared_and_missing_cells(spark):
+    """Against each character by itself: cells over one another, two boxes of one cell, ground without a cell."""
+    words = [(1, k, "abcdefghij"[: 1 + k % 10], 3.0 * k, 0.0, 3.0 * k + 7.0 * (1 + k % 10), 10.0) for k in range(40)]
+    cells = [(1, 0, 0, 0.0, -5.0, 33.0, 20.0), (1, 0, 1, 30.0, -5.0, 71.0, 20.0), (1, 0, 1, 80.0, -5.0, 99.0, 20.0), (1, 1, 0, 90.0, -5.0, 131.0, 20.0), (1, 2, 0, 0.0, 30.0, 400.0, 60.0)]
+    want = set()
+    for page, word, t, x0, y0, x1, y1 in words:
+        parts = {}
+        for i, c in enumerate(t):
+            x, y = x0 + (x1 - x0) * (i + 0.5) / len(t), (y0 + y1) / 2
+            own = min(((r, k) for p, r, k, a, b, e, f in cells if p == page and a <= x < e and b <= y < f), default=None)
+            if own:
+                parts[own] = parts.get(own, "") + c
+        most = max((len(p) for p in parts.values()), default=0) / len(t)
+        want |= {(page, word, *at, t if most >= 0.75 else p) for at, p in parts.items() if most < 0.75 or len(p) / len(t) == most}
+    box = "x0 double, y0 double, x1 double, y1 double"
+    found = printed.W.split_at_cells(spark.createDataFrame(words, f"page long, word long, text string, {box}"), spark.createDataFrame(cells, f"page long, row long, col long, {box}"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
