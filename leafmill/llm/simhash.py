@@ -44,6 +44,8 @@ CHUNK = 1 << 15
 PAIRS = 1 << 13
 #: Wide fingerprints: 64-bit words, the least bits of a key, and the texts that a key's bits let meet on average once there are more.
 WORDS, KEY_BITS, MEETING = 8, 13, 2048
+#: Keys that link first, so that the others have only different components to link.
+FIRST = 8
 #: Keys broadcast at most, as hot ones.
 HOT_KEYS = 200_000
 #: Candidates differ in so many of 512 bits at most: a pair at a likeness of 0.8 differs in 77, give or take 8.
@@ -212,9 +214,9 @@ def _spans(n: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Least index that the pairs connect each of n indices with."""
-    label = np.arange(n)
+def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], own: np.ndarray | None = None) -> np.ndarray:
+    """Least index that the pairs connect each of n indices with; own: such indices of what is connected before."""
+    label = np.arange(n) if own is None else own.copy()
     for a, b in pairs:
         while len(a):
             la, lb = label[a], label[b]
@@ -251,8 +253,8 @@ def _tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield links(held_t, held_f)
 
 
-def _thinned(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one large tile that connect what all its pairs connect.
+def _thinned(fps: np.ndarray, radius: int, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large tile that, with own, connect what all its pairs connect.
 
     Rows near a pivot are one component already, so that only blocks with rows of other components are compared after that.
     """
@@ -264,7 +266,7 @@ def _thinned(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndar
         near = np.flatnonzero(np.bitwise_count(fps ^ fps[pivot]).sum(axis=1, dtype=np.int64) <= radius)
         free[near] = False
         stars.append((np.full(len(near), pivot), near))
-    label = _spanning(len(fps), iter(stars))
+    label = _spanning(len(fps), iter(stars), own)
     yield from stars
     order = np.argsort(label, kind="stable")
     for a, b in sliced_pairs(fps[order], np.zeros(len(fps), np.int64), radius, label[order]):
@@ -272,31 +274,36 @@ def _thinned(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each tile of wide fingerprints; the rows come sorted by tile."""
+    """Spanning links of the labels in each tile of (tile, label, wide fingerprint) rows, which come sorted by tile and label."""
 
-    def links(tile, fp):
+    def links(tile, name, fp):
         u = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
+        at = np.arange(len(u))
+        new = np.concatenate(([True], (np.diff(tile) != 0) | (np.diff(name) != 0)))
+        own = np.maximum.accumulate(np.where(new, at, 0))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]))
-        size = np.diff(cuts)
-        few = np.flatnonzero(np.repeat(size <= DENSE, size))
-        label = np.arange(len(u))
-        label[few] = few[_spanning(len(few), sliced_pairs(u[few], tile[few], radius))]
-        for t in np.flatnonzero(size > DENSE):
+        size, mixed = np.diff(cuts), own[cuts[:-1]] != own[cuts[1:] - 1]
+        few = np.flatnonzero(np.repeat(mixed & (size <= DENSE), size))
+        back = np.searchsorted(few, own[few])
+        label = own.copy()
+        label[few] = few[_spanning(len(few), sliced_pairs(u[few], tile[few], radius, back), back)]
+        for t in np.flatnonzero(mixed & (size > DENSE)):
             lo, hi = cuts[t], cuts[t + 1]
-            label[lo:hi] = lo + _spanning(hi - lo, _thinned(u[lo:hi], radius))
-        far = np.flatnonzero(label != np.arange(len(u)))
-        return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in far], "binary"), pa.array([fp[i] for i in label[far]], "binary")], ["a", "b"])
+            label[lo:hi] = lo + _spanning(hi - lo, _thinned(u[lo:hi], radius, own[lo:hi] - lo), own[lo:hi] - lo)
+        far = np.flatnonzero(new & (label != at))
+        return pa.RecordBatch.from_arrays([pa.array(name[far]), pa.array(name[label[far]])], ["a", "b"])
 
-    held_t, held_f = np.empty(0, np.int64), []
+    held_t, held_n, held_f = np.empty(0, np.int64), np.empty(0, np.int64), []
     for batch in batches:
         held_t = np.concatenate((held_t, batch.column(0).to_numpy(zero_copy_only=False)))
-        held_f += batch.column(1).to_pylist()
+        held_n = np.concatenate((held_n, batch.column(1).to_numpy(zero_copy_only=False)))
+        held_f += batch.column(2).to_pylist()
         cut = int(np.searchsorted(held_t, held_t[-1])) if len(held_t) else 0  # the last tile may go on
         if cut:
-            yield links(held_t[:cut], held_f[:cut])
-            held_t, held_f = held_t[cut:], held_f[cut:]
+            yield links(held_t[:cut], held_n[:cut], held_f[:cut])
+            held_t, held_n, held_f = held_t[cut:], held_n[cut:], held_f[cut:]
     if len(held_t):
-        yield links(held_t, held_f)
+        yield links(held_t, held_n, held_f)
 
 
 def key_plan(n: int) -> tuple[int, int]:
@@ -318,30 +325,53 @@ def _sampled_keys(fps: list[bytes], seed: int, bits: int, ways: int) -> np.ndarr
     return np.stack([bit[:, p] @ weight for p in places], axis=1) + (np.arange(ways, dtype=np.int64) << bits)
 
 
-def copy_links(nodes: DataFrame, radius: int, tile: int = 16384, seed: int = 42) -> DataFrame:
-    """(a, b): links that connect what fingerprints of a common key and at radius or fewer bits connect; nodes has distinct ``fp``.
+def copy_groups(nodes: DataFrame, radius: int, tile: int = 16384, seed: int = 42) -> DataFrame:
+    """(fp, component): what fingerprints of a common key and at radius or fewer bits connect; nodes has distinct ``fp``, component is a number.
 
     Keys that more than ``tile`` fingerprints share are cut into tiles of pairs of their parts.  The table of such keys is
     broadcast while it has at most ``HOT_KEYS`` rows of two numbers; beyond that it is joined by key.
+
+    The first ``FIRST`` keys link most of what is alike, each part by itself, so a fingerprint has ``FIRST`` links there at most.
+    All other tiles know the components of that and link only different ones: no group has a link for every tile it meets in.
     """
-    nodes = materialize(nodes, "prints")
+    nodes = materialize(nodes.select("fp", F.monotonically_increasing_id().alias("label")), "prints")
     bits, ways = key_plan(nodes.count())
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                fps = b.column(0).slice(lo, 1024).to_pylist()
-                key = _sampled_keys(fps, seed, bits, ways).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps, "binary").take(pa.array(np.repeat(np.arange(len(fps)), ways)))], ["key", "fp"])
+    def keyed(nodes: DataFrame, ways: int) -> DataFrame:
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 1024):
+                    part = b.slice(lo, 1024)
+                    key = _sampled_keys(part.column(0).to_pylist(), seed, bits, ways).ravel()
+                    row = pa.array(np.repeat(np.arange(part.num_rows), ways))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(row), part.column(1).take(row)], ["key", "fp", "label"])
+
+        return nodes.select("fp", "label").mapInArrow(keys, "key long, fp binary, label long")
 
-    keyed = nodes.mapInArrow(keys, "key long, fp binary")
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
+    counts = materialize(keyed(nodes, ways).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
     hot = F.broadcast(counts) if counts.count() <= HOT_KEYS else counts
     parts = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    rows = keyed.join(hot, "key", "left").select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "fp")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _wide_links(it, radius), "a binary, b binary")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "label", "fp")
+        rows = rows.repartition("tile").sortWithinPartitions("tile", "label")
+        return connected_components(rows.mapInArrow(lambda it: _wide_links(it, radius), "a long, b long")).withColumnRenamed("node", "label")
+
+    def named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+        return nodes.join(found, "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
+
+    near = linked(keyed(nodes, min(FIRST, ways)).join(hot, "key", "left").select("key", "label", "fp", mine.alias("mine"), mine.alias("other")))
+    nodes = materialize(named(nodes, near).withColumnRenamed("component", "label"), "prints")
+    rows = keyed(nodes, ways).join(hot, "key", "left").select("key", "label", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return named(nodes, linked(rows.filter((F.shiftright("key", bits) >= FIRST) | (F.col("mine") != F.col("other")))))
+
+
+def copy_links(nodes: DataFrame, radius: int, tile: int = 16384, seed: int = 42) -> DataFrame:
+    """(a, b): each fingerprint of ``copy_groups`` and the least of its component."""
+    groups = copy_groups(nodes, radius, tile, seed)
+    least = groups.groupBy("component").agg(F.min("fp").alias("b"))
+    return groups.join(least, "component").filter("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def _ranges(total: int, parts: int) -> list[tuple[int, int]]:
@@ -490,9 +520,8 @@ def _few_links(nodes: DataFrame, likeness: Fraction) -> DataFrame:
 
 def _long_links(docs: DataFrame, nodes: DataFrame, likeness: Fraction, radius: int, width: int, seed: int) -> DataFrame:
     """(a, b) among texts of more shingles: the members of each component of candidates, compared by their sets."""
-    prints = nodes.filter(F.col("n") > FEW).groupBy("wide").agg(F.count("*").alias("m"))
-    near = connected_components(copy_links(prints.select(F.col("wide").alias("fp")), radius, seed=seed))
-    groups = prints.join(near.withColumnRenamed("node", "wide"), "wide", "left").select("wide", F.coalesce("component", "wide").alias("group"))
+    prints = nodes.filter(F.col("n") > FEW).select(F.col("wide").alias("fp")).distinct()
+    groups = copy_groups(prints, radius, seed=seed).select(F.col("fp").alias("wide"), F.col("component").alias("group"))
     members = nodes.filter(F.col("n") > FEW).join(groups, "wide").select("fp", "n", "group", "first")
     sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     sizes = materialize(sizes.select("group", F.ceil(F.col("total") / PART).cast("int").alias("parts")), "groups")
@@ -505,7 +534,7 @@ def _long_links(docs: DataFrame, nodes: DataFrame, likeness: Fraction, radius: i
             h = pa.array([shingle_set(t.as_py(), width, seed).tobytes() for t in b.column(3)], "binary")
             yield pa.RecordBatch.from_arrays([*b.columns[:3], h], ["fp", "group", "parts", "h"])
 
-    rows = texts.mapInArrow(sets, "fp binary, group binary, parts int, h binary")
+    rows = texts.mapInArrow(sets, "fp binary, group long, parts int, h binary")
     return _tiled(rows, "group", F.col("parts")).mapInArrow(lambda it: _set_links(it, likeness), "a binary, b binary")
 
 

@@ -227,3 +227,19 @@ def test_hot_keys_beyond_the_broadcast(spark, monkeypatch):
     for most in (S.HOT_KEYS, 0):
         monkeypatch.setattr(S, "HOT_KEYS", most)
         assert {bytes(x.component) for x in connected_components(S.copy_links(nodes, 90, 20)).collect()} == {f[0]}
+
+
+def test_a_group_has_few_links_whatever_keys_it_shares(spark, monkeypatch):
+    """Each of 80 keys gave every fingerprint of a group a link of its own, and a key cut into tiles gave one for each part."""
+    r = np.random.default_rng(5)
+    f = sorted({x.tobytes() for x in _mutants(r, r.integers(0, 2**63, 8, dtype=np.uint64), 400, 12)})
+    seen, real = [], S.connected_components
+
+    def counted(links):
+        seen.append(links.distinct().count())
+        return real(links)
+
+    monkeypatch.setattr(S, "connected_components", counted)
+    found = S.copy_groups(spark.createDataFrame([(x,) for x in f], "fp binary"), 90, 50).collect()
+    assert len(found) == len(f) and len({x.component for x in found}) == 1
+    assert len(seen) == 2 and seen[0] <= S.FIRST * len(f) and seen[1] < len(f) / 10
