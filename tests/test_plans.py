@@ -2,7 +2,8 @@
 
 import pytest
 
-from leafmill.queries import catalog, ledger, paged, printed  # noqa: F401  (the others register their queries)
+from leafmill.operators import headers
+from leafmill.queries import catalog, headings, ledger, paged, printed  # noqa: F401  (the others register their queries)
 
 MOST = {
     "ledger_products": (1, 3), "ledger_sums": (1, 3), "ledger_split": (1, 3), "label_spans": (1, 3), "ledger_paths": (1, 3), "crossfoot_cells": (2, 4),
@@ -47,3 +48,25 @@ def test_split_words_over_shared_and_missing_cells(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     found = printed.W.split_at_cells(spark.createDataFrame(words, f"page long, word long, text string, {box}"), spark.createDataFrame(cells, f"page long, row long, col long, {box}"))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_header_cells_and_words_are_dealt_by_table_once(spark):
+    """Places of words were joined back to the words, and cells dealt by row, by table and by cell again."""
+    plan = catalog.QUERIES["rebuilt_headers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    frames = headers._frames(headings.read_cells(w := headings.headed_words(spark, "/root/testdata/sf0.001")), w.drop("row", "col"))
+    below = frames._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 4 and below.count("Exchange ") <= 6 and "Join" not in below
+
+
+def test_holders_over_shared_tiles_and_null_keys(spark):
+    """Against each word by itself: boxes over one another, words without page or name, boxes without page."""
+    words = [(p, w, 13.0 * (w or 0), 7.0 * ((w or 0) % 9), 13.0 * (w or 0) + 8, 7.0 * ((w or 0) % 9) + 5) for p in (1, 2, None) for w in [*range(30), None]]
+    boxes = [(p, k, 40.0 * k, 0.0, 40.0 * k + 150, 20.0 + 9 * k) for p in (1, None) for k in range(8)]
+    want = []
+    for p, w, x0, y0, x1, y1 in words:
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        want.append((p, w, min((k for q, k, a, b, c, d in boxes if p is not None and w is not None and p == q and a <= x < c and b <= y < d), default=None)))
+    box = "x0 double, y0 double, x1 double, y1 double"
+    found = headers.zones.holders(spark.createDataFrame(words, f"page long, word long, {box}"), spark.createDataFrame(boxes, f"page long, k long, {box}"), "k")
+    assert found.columns == ["page", "word", "x0", "y0", "x1", "y1", "k"]
+    assert sorted(((r.page, r.word, r.k) for r in found.collect()), key=str) == sorted(want, key=str)
