@@ -4,6 +4,7 @@ import pytest
 
 from leafmill.operators import headers
 from leafmill.queries import catalog, headings, ledger, paged, printed  # noqa: F401  (the others register their queries)
+from tests.compare import difference, views
 
 MOST = {
     "ledger_products": (1, 3), "ledger_sums": (1, 3), "ledger_split": (1, 3), "label_spans": (1, 3), "ledger_paths": (1, 3), "crossfoot_cells": (2, 4),
@@ -70,3 +71,14 @@ def test_holders_over_shared_tiles_and_null_keys(spark):
     found = headers.zones.holders(spark.createDataFrame(words, f"page long, word long, {box}"), spark.createDataFrame(boxes, f"page long, k long, {box}"), "k")
     assert found.columns == ["page", "word", "x0", "y0", "x1", "y1", "k"]
     assert sorted(((r.page, r.word, r.k) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["label_spans", "ledger_paths", "ledger_split", "ledger_sums", "ledger_products"])
+def test_tasks_take_a_bounded_number_of_lines(spark, monkeypatch, name):
+    """The session's shuffle partitions bounded nothing: a task's lines grew with the table."""
+    monkeypatch.setattr(ledger.dealt, "__defaults__", (500,))
+    sf = "/root/testdata/sf0.001"
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan
+    assert difference(spark, views(sf), catalog.QUERIES[name], catalog.ORACLES[name], sf) == ""
