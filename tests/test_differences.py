@@ -43,3 +43,26 @@ EVENTS = """select row_number() over ()::bigint event_id, ts::timestamp ts, u::b
 @pytest.mark.parametrize("name", ["stream_windows", "row_groups"])
 def test_seconds_before_midnight(spark, tmp_path, name):
     assert _differs(spark, tmp_path, name, events=EVENTS) == ""
+
+
+def test_blocks_in_tiles_against_all_pairs(spark, monkeypatch):
+    """Blocks that stood on one baseline met in rows, all pairs of them; here tiles of five, baselines within tol, and names of null."""
+    import random
+
+    from leafmill.operators import rows as R
+
+    monkeypatch.setattr(R, "TILE", 5)
+    r = random.Random(3)
+    at = {(p, f"b{k}"): sorted({r.randrange(14) + r.choice([0.0, 0.25, 0.5]) for _ in range(r.randrange(2, 9))}) for p in (1, 2) for k in range(23)}
+    lines = [(p, b, y, 3) for (p, b), ys in at.items() for y in ys] + [(None, "b1", 1.0, 3), (1, None, 1.0, 3), (1, "b1", None, 3)]
+    on = lambda a, b: sum(any(abs(y - z) <= 0.5 for z in b) for y in a)
+    want = set()
+    for (p, a), ys in at.items():
+        for (q, b), zs in at.items():
+            there, back = on(ys, zs), on(zs, ys)
+            if p == q and a < b and min(there, back, len(ys), len(zs)) >= 3 and there >= 0.6 * len(ys) - 1e-9 and back >= 0.6 * len(zs) - 1e-9:
+                want.add((p, a, b, there))
+    found = R.row_read_pairs(spark.createDataFrame(lines, "page long, block string, baseline double, n_words int"))
+    assert want and {tuple(x) for x in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert R.row_read_pairs(spark.createDataFrame([], "page long, block string, baseline double, n_words int")).count() == 0
