@@ -75,11 +75,12 @@ def csv_field(text: Column) -> Column:
 
 def table_csv(cells: DataFrame, number: str = "table") -> DataFrame:
     """(table, csv): a block headed ``# Table N`` (the column ``number``, N.M for a nested one), a line a row, spans as empty fields."""
-    names = cells.select("table", F.col(number).cast("string").alias("_n")).distinct()
     start = F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("text"))
-    g = tables.grid(cells.select("table", "row", "col", "text", *[c for c in ("rowspan", "colspan") if c in cells.columns])).withColumn("f", F.coalesce(csv_field(start), F.lit("")))
-    rows = g.groupBy("table", "r").agg(F.array_join(_in_order(["c"], "f"), ",").alias("line"))
-    block = rows.groupBy("table").agg(F.array_join(_in_order(["r"], "line"), "\n").alias("body")).join(names, "table")
+    block = tables.slot_lines(cells, F.coalesce(csv_field(start), F.lit("")), "", lambda row: F.array_join(row, ","), "\n", "body").filter("table is not null")
+    if number == "table":
+        block = block.withColumn("_n", F.col("table").cast("string"))
+    else:
+        block = block.join(cells.select("table", F.col(number).cast("string").alias("_n")).distinct(), "table")
     return block.select("table", F.concat(F.lit("# Table "), F.col("_n"), F.lit("\n"), F.col("body"), F.lit("\n")).alias("csv"))
 
 

@@ -82,3 +82,21 @@ def test_tasks_take_a_bounded_number_of_lines(spark, monkeypatch, name):
     n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
     assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan
     assert difference(spark, views(sf), catalog.QUERIES[name], catalog.ORACLES[name], sf) == ""
+
+
+@pytest.mark.parametrize("name", ["table_csv", "otsl_encode", "item_rows"])
+def test_lines_are_dealt_once_and_cells_never(spark, name):
+    """Slots were joined with the cells, rows with the cells they move; cells were dealt by row, by slot and by table in turn."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_slots_of_odd_tables(spark):
+    """Rows and columns without a cell, cells over one another, an empty text and one of null, a table of one far cell."""
+    cells = [(1, 0, 0, "a", 1, 2), (1, 0, 1, "b", 1, 1), (1, 2, 3, None, 2, 1), (1, 4, 0, " ", 1, 1), (2, 2, 1, 'x,"y"', 1, 1)]
+    df = spark.createDataFrame(cells, "table long, row long, col long, text string, rowspan int, colspan int")
+    tokens = {r.table: r.tokens for r in ledger.tables.structure_tokens(df).collect()}
+    blank = "ecel ecel ecel ecel nl"
+    assert tokens == {1: f"fcel fcel lcel ecel ecel nl {blank} ecel ecel ecel ecel nl ecel ecel ecel ucel nl ecel ecel ecel ecel nl", 2: "ecel ecel nl ecel ecel nl ecel fcel nl"}
+    csv = {r.table: r.csv for r in ledger.sinks.table_csv(df).collect()}
+    assert csv == {1: "# Table 1\na,,b,,\n,,,\n,,,\n,,,\n ,,,\n", 2: '# Table 2\n,\n,\n,"x,""y"""\n'}
